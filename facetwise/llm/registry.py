@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints
+from . import exact_dedup, fingerprints, simhash
 from .common import table
 
 
 def queries():
     return {
         "op7_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents")),
+        "op8_simhash": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
         "op9_fingerprints": lambda spark, d: fingerprints.edited_likeness(table(spark, d, "documents")),
     }
 
