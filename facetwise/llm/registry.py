@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, simhash
+from . import bpe, exact_dedup, fingerprints, packing, simhash, token_files
 from .common import table
 
 
 def queries():
     return {
+        "op1_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
+        "op2_byte_bpe": lambda spark, d: bpe.round_trip(table(spark, d, "documents")),
+        "op10_token_files": lambda spark, d: token_files.write_and_read(table(spark, d, "documents")),
         "op7_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents")),
         "op8_simhash": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
         "op9_fingerprints": lambda spark, d: fingerprints.edited_likeness(table(spark, d, "documents")),
