@@ -40,7 +40,7 @@ def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capac
         encoder, tail, long, short = library(tokenizer, False), np.array([end], "<u4").tobytes(), 4 * capacity, 4 * GRAIN * STEP
         for b in batches:
             n, crcs, blocks = [], [], []
-            for raw in encoder.batch(b.column("text").to_pylist()):
+            for raw in map(encoder.ids, b.column("text").to_pylist()):
                 view = memoryview(raw + tail)
                 n.append(len(view) // 4)
                 crcs.append([zlib.crc32(view[i : i + long]) for i in range(0, len(view), long)])

@@ -96,7 +96,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END
 
         for b in batches:
             names_here = b.column("doc_id").to_pylist()
-            for name, raw in zip(names_here, encoder.batch(b.column("text").to_pylist())):
+            for name, raw in zip(names_here, map(encoder.ids, b.column("text").to_pylist())):
                 names.append(name)
                 ids.append(raw + tail)
                 held += len(raw) // 4 + 1
