@@ -72,5 +72,15 @@ def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total
     return by_hot.unionByName(by_cold)
 
 
+def by_hash(rows: DataFrame, key: str, want: int, total: int) -> DataFrame:
+    """Of `total` rows those with the least hashes of key, about want of them and a few more, by a threshold.
+
+    A sort with a limit would send as many rows from every task to the driver.
+    """
+    span = 1 << 40
+    most = span if total <= want else min(span, int(span * (1.2 * want + 40) / total))
+    return rows.filter(F.pmod(F.xxhash64(key), F.lit(span)) < F.lit(most))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
