@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, texts
+from .common import by_hash, held_out, texts
 
 FOLDS, TOXIC, ORDINARY, LONGEST = 5, 1500, 3000, 50_000
 LEAD, LEVEL, LONG = b"\n>>> ", 19, 64
@@ -198,11 +198,18 @@ def train(rows: list[tuple[str, int]]) -> Model:
 def sample(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> list[tuple[str, int]]:
     """(text, toxic) of the rows to learn from; at most TOXIC + ORDINARY."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
-    marks = marks.filter(~held_out(F.col("doc_id"), folds)).withColumn("h", F.xxhash64("doc_id"))
-    some = [marks.filter(F.col("toxic") == y).orderBy("h", "doc_id").limit(n) for y, n in ((1, TOXIC), (0, ORDINARY))]
-    chosen = some[0].unionByName(some[1])
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").filter(F.length("text") <= LONGEST)
-    return [(r["text"], r["toxic"]) for r in sorted(rows.select("text", "toxic", "h").collect(), key=lambda r: (r["h"], r["text"]))]
+    marks = marks.filter(~held_out(F.col("doc_id"), folds)).dropDuplicates(["doc_id"])
+    there = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = {1: TOXIC, 0: ORDINARY}
+    some = [by_hash(marks.filter(F.col("toxic") == y), "doc_id", n, there.get(y, 0)) for y, n in most.items()]
+    chosen = some[0].unionByName(some[1]).withColumn("h", F.xxhash64("doc_id"))  # few more than TOXIC + ORDINARY
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").filter(F.length("text") <= LONGEST).select("text", "toxic", "h").collect()
+    out = []
+    for r in sorted(rows, key=lambda r: (r["h"], r["text"])):
+        if most[r["toxic"]] > 0:
+            most[r["toxic"]] -= 1
+            out.append((r["text"], r["toxic"]))
+    return out
 
 
 _scorers: dict[str, Scorer] = {}
