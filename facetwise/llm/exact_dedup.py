@@ -41,7 +41,7 @@ def recipes(docs: DataFrame, bits: int = 64) -> DataFrame:
         return first.select("doc_id", "text_sha256", F.col("hashes").alias("recipe"), F.lit(None).cast("array<bigint>").alias("nths"))
     parts = rows.select("doc_id", F.sha2(F.col("text"), 256).alias("text_sha256"), F.posexplode(chunks(F.col("text"))).alias("pos", "chunk"))
     parts = parts.withColumn("h", chunk_hash(F.col("chunk"), bits)).join(marked, ["h", "chunk"]).select("doc_id", "text_sha256", "pos", "nth").distinct()
-    nths = parts.groupBy("doc_id", "text_sha256").agg(F.sort_array(F.collect_list(F.struct(F.col("pos").cast("long"), F.col("nth").cast("long")))).alias("marks"))
+    nths = parts.groupBy("doc_id", "text_sha256").agg(F.sort_array(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), F.col("nth").cast("long").alias("nth")))).alias("marks"))
     nths = nths.select("doc_id", "text_sha256", F.flatten(F.transform("marks", lambda m: F.array(m["pos"], m["nth"]))).alias("nths"))
     same = (F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))) & (F.col("a.text_sha256") == F.col("b.text_sha256"))
     return first.alias("a").join(nths.alias("b"), same, "left").select("a.doc_id", "a.text_sha256", F.col("a.hashes").alias("recipe"), "b.nths")
