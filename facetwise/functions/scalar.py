@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,13 +32,13 @@ def bucket(f: Field, c: Column) -> Column:
 
 def seconds_since_epoch(now: datetime | None = None) -> int:
     """Whole seconds since 2000-01-01 UTC."""
-    return int(((now or datetime.utcnow()) - EPOCH).total_seconds())
+    return int(((now or datetime.now(UTC).replace(tzinfo=None)) - EPOCH).total_seconds())
 
 
 def miles(lat: Column, lon: Column, at_lat: float, at_lon: float) -> Column:
     """Great-circle distance on a sphere, which differs from the ellipsoid's by up to half a percent."""
     a = F.pow(F.sin(F.radians(lat - at_lat) / 2), 2) + F.cos(F.radians(lat)) * F.cos(F.radians(F.lit(at_lat))) * F.pow(F.sin(F.radians(lon - at_lon) / 2), 2)
-    return F.lit(2 * EARTH_METRES / METRES_A_MILE) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return F.lit(2 * EARTH_METRES / METRES_A_MILE) * F.asin(F.sqrt(F.when(a > 1, F.lit(1.0)).otherwise(a)))  # least() would take NULL for 1
 
 
 def row_hash(columns: list[Column]) -> Column:
