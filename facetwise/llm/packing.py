@@ -30,7 +30,7 @@ from .tokens import library
 
 TOKENIZER, END, CAPACITY, GRAIN, STEP = "word_bpe_49k.json", 1, 2048, 4, 4
 #: Rows of a hash bucket, on average over all classes, within which pieces are ranked.
-BUCKET = 50_000
+BUCKET = 5_000
 
 
 def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capacity: int = CAPACITY) -> DataFrame:
