@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from concurrent.futures import ThreadPoolExecutor
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import DataFrame
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from . import url
 from .query import Comparer, Derived, Filter, GeoFilter, Query, SliceQuery, Sort
 
+_writer = ThreadPoolExecutor(1)
+
 if TYPE_CHECKING:
     from .repository import CommitResult, Repository, Results
 
@@ -272,6 +274,12 @@ class Builder(_Paged):
     def everything(self) -> DataFrame:
         return self.results().all_records
 
+    def items(self, size: int = 1000):
+        """All filtered records in order, lists of so many at a time."""
+        from .sources.export import items
+
+        return items(self._with(per_page=0).results().records, size)
+
     def facets(self) -> DataFrame:
         return self.results().facets
 
@@ -342,6 +350,10 @@ class Change(_Base):
             return self.repository.delete_where(self.q)
         return self.repository.update_where(self.q, self.changes)
 
+    def commit_async(self):
+        """commit() on a thread; the handle gives its result. Changes made so follow one another."""
+        return _writer.submit(self.commit)
+
 
 def lookup(facets: DataFrame, dvidx: int | None = None, value: str | None = None, dimension: str | None = None, min_value: int | None = None) -> DataFrame:
     """Facet rows by id, value, dimension or the lower end of their bucket."""
@@ -351,4 +363,4 @@ def lookup(facets: DataFrame, dvidx: int | None = None, value: str | None = None
     return facets
 
 
-__all__ = ["Builder", "Change", "Member", "Slice", "lookup", "m", "replace"]
+__all__ = ["Builder", "Change", "Member", "Slice", "lookup", "m"]

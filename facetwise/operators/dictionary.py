@@ -50,6 +50,11 @@ def grow(records: DataFrame, schema: Schema, known: DataFrame | None = None) ->
     return known.select("didx", "dvidx", "value").unionByName(fresh)
 
 
+def combined(parent: DataFrame, child: DataFrame) -> DataFrame:
+    """The dictionary of a child repository: its own values and its parent's."""
+    return parent.select("didx", "dvidx", "value").union(child.select("didx", "dvidx", "value")).distinct()
+
+
 def dump(dictionary: DataFrame) -> DataFrame:
     return dictionary.select("didx", "dvidx", "value").orderBy("didx", "value")
 

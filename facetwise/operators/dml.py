@@ -35,6 +35,28 @@ def conform(rows: DataFrame, schema: Schema) -> DataFrame:
     return rows.select(*_columns(rows, schema))
 
 
+def misfits(rows: DataFrame, schema: Schema) -> DataFrame:
+    """(field, problem, n): values of rows that conform() would change or lose, fields that it would leave out, keys that are NULL."""
+    have, checks = {c.lower(): c for c in rows.columns}, []
+    for f in schema.struct().fields:
+        name, own = have.get(f.name.lower()), schema[f.name]
+        if name is None:
+            if own.primary_key or not own.nullable:
+                checks.append((f.name, "missing", F.lit(1)))
+            continue
+        c = F.col(f"`{name}`")
+        if rows.schema[name].dataType != f.dataType:
+            lost = F.expr(f"try_cast(`{name}` as {f.dataType.simpleString()})").isNull() & c.isNotNull()
+            checks.append((f.name, f"not {own.kind.value}", F.sum(lost.cast("long"))))
+        if own.primary_key or not own.nullable:
+            checks.append((f.name, "null", F.sum(c.isNull().cast("long"))))
+        if own.kind == Kind.STRING and own.length > 0:
+            checks.append((f.name, "too long", F.sum((F.length(c.cast("string")) > own.length).cast("long"))))
+    checks += [(name, "unknown", F.lit(1)) for low, name in have.items() if schema.find(low) is None]
+    found = F.array(*[F.struct(F.lit(n).alias("field"), F.lit(p).alias("problem"), F.coalesce(F.max(x) if p in ("missing", "unknown") else x, F.lit(0)).cast("long").alias("n")) for n, p, x in checks])
+    return rows.agg(found.alias("x")).select(F.inline("x")).filter("n > 0")
+
+
 def hashed(rows: DataFrame, schema: Schema) -> DataFrame:
     return rows.withColumn("__hash", row_hash([F.col(f"`{f.name}`") for f in schema.fields]))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..builder import m
 from ..operators import dictionary, dml
 from ..query import Comparer, Filter, GeoFilter
-from ..schema import Field, Kind, Schema
+from ..schema import Field, Kind, Schema, dimension
 from . import repositories as R
 
 SQL = {"orders": R.ORDERS_SQL, "events": R.EVENTS_SQL, "parts": R.PARTS_SQL, "documents": R.DOCUMENTS_SQL, "customers": R.CUSTOMERS_SQL, "lines": R.LINES_SQL}
@@ -220,6 +220,39 @@ def inherited_view(spark, d):
     return dml.inherited(parent, dml.synced(parent, spent)).select("c_custkey", "c_mktsegment", "spent")
 
 
+def combined_dictionary(spark, d):
+    """A child's own values and its parent's."""
+    child = Schema("child", (Field("note", Kind.STRING), dimension("o_year", Kind.INT)), parent="orders", alias="c")
+    own = dictionary.grow(R.orders(spark, d).records.select("o_year"), child)
+    return dictionary.combined(R.parts(spark, d).dictionary.filter("didx = 1000000"), own).select("didx", "dvidx", "value")
+
+
+def child_sync(spark, d):
+    """One row for each order: notes of orders that are gone go, missing ones come empty."""
+    parent = R.orders(spark, d).records.filter("o_orderkey % 3 <> 0")
+    notes = R.orders(spark, d).records.filter("o_orderkey % 2 = 0").select("__record_idx", F.col("n_name").alias("note"))
+    return dml.synced(parent, notes)
+
+
+def granted(spark, d):
+    r = R.orders(spark, d)
+    r.grant([(3, "0"), (11, "24")], reset=True)
+    r.revoke([(3, "8")])
+    r.clear_grants(user=4)
+    return r.grants.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+GRANTED_SQL = """
+with g as (select u.user_id, n from range(1, 11) u(user_id), range(0, 25) v(n) where n % 5 = user_id % 5),
+kept as (select user_id, n from g where n not in (0, 24) union select * from (values (3, 0), (11, 24)) t(user_id, n))
+select cast(user_id as int) as user_id, count(*) as n from kept where not (user_id = 3 and n = 8) and user_id <> 4 group by user_id"""
+
+
+def misfit_rows(spark, d):
+    """Names over 12 characters, and a field that the schema doesn't have."""
+    return R.Repository(KV, _kv(spark, d)).validate(R.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("!!!")).alias("name"), F.col("p_size").alias("more")))
+
+
 def upsert_table(spark, d):
     """Through a snapshot table: created, filled twice, read back as facets."""
     from ..repository import Repository
@@ -300,6 +333,10 @@ def registered() -> dict[str, tuple]:
         "delete_refinement_state": (lambda spark, d: rename_state(spark, d, None), f"with {o} select c_mktsegment as value, count(*) as count from rec where c_mktsegment <> 'BUILDING' group by 1"),
         "delete_list_refinement_state": (rename_list_state, f"with {o} select x as value, count(*) as count from (select unnest(flags) as x from rec) where x <> 'A' group by 1"),
         "inherited_view": (inherited_view, "select c_custkey, c_mktsegment, round(sum(o_totalprice), 2) as spent from customer left join orders on o_custkey = c_custkey group by all"),
+        "dictionary_combined": (combined_dictionary, f"with {R.ORDERS_SQL} select cast(1000000 as bigint) as didx, cast(10000000 + row_number() over (order by p_brand) - 1 as bigint) as dvidx, p_brand as value from (select distinct p_brand from part) union all select 1, 10000 + row_number() over (order by cast(o_year as varchar)) - 1, cast(o_year as varchar) from (select distinct o_year from rec)"),
+        "child_sync": (child_sync, f"with {R.ORDERS_SQL} select __record_idx, case when o_orderkey % 2 = 0 then n_name end as note from rec where o_orderkey % 3 <> 0"),
+        "grants_changed": (granted, GRANTED_SQL),
+        "rows_that_do_not_fit": (misfit_rows, "select 'name' as field, 'too long' as problem, count(*) as n from part where length(p_name) + 3 > 12 union all select 'more', 'unknown', 1"),
         "snapshot_table_facets": (upsert_table, facet_sql("parts", "true", ("p_brand", "p_type"), ("words",), (("p_size", 10),))),
     }
     return out

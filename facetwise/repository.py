@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
+import time
+from collections import OrderedDict, deque
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
@@ -148,12 +149,13 @@ class Repository:
     compat: filters on unknown fields or with unreadable values are ignored. collation: of string comparisons, e.g. UTF8_LCASE.
     """
 
-    CACHED = 64
+    CACHED, LOGGED = 64, 1000
 
     def __init__(self, schema: Schema, rows: DataFrame | None = None, dictionary_: DataFrame | None = None, grants: DataFrame | None = None, table: SnapshotTable | None = None, compat: bool = False, collation: str | None = None):
         self.schema, self.table, self.compat, self.collation = schema, table, compat, collation
         self._rows, self._dictionary, self._grants = rows, dictionary_, grants
         self._cache: OrderedDict = OrderedDict()
+        self.log: deque = deque(maxlen=self.LOGGED)  # what fetch() was asked, and how long it took
 
     @staticmethod
     def open(table: SnapshotTable, **options) -> Repository:
@@ -188,12 +190,14 @@ class Repository:
 
     def fetch(self, query: Query) -> dict[str, list]:
         """results(query).fetch(), kept for the query while the table has the same version."""
-        at = (query, self.table.version if self.table else None)
-        if at not in self._cache:
+        at, began = (query, self.table.version if self.table else None), time.time()
+        cached = at in self._cache
+        if not cached:
             self._cache[at] = self.results(query).fetch()
             while len(self._cache) > self.CACHED:
                 self._cache.popitem(last=False)
         self._cache.move_to_end(at)
+        self.log.append({"query": query, "seconds": time.time() - began, "cached": cached, "count": next((r["total_count"] for r in self._cache[at].get("count", ())), None)})
         return self._cache[at]
 
     def filtered(self, query: Query, chosen: list[tuple[int, int, str]] | None = None) -> DataFrame:
@@ -303,8 +307,22 @@ class Repository:
             words = dictionary.grow(rows, self.schema, words)
         return self._write(rows, words)
 
-    def change_grants(self, grants: DataFrame) -> None:
+    def validate(self, batch: DataFrame) -> DataFrame:
+        """(field, problem, n): what is wrong with a batch before it is upserted; no rows: nothing."""
+        return dml.misfits(batch, self.schema)
+
+    def _grant(self, grants: DataFrame) -> None:
         if self.table:
             self.table.write(self.schema, grants=grants)
         else:
             self._grants = grants
+
+    def grant(self, rows: list[tuple], reset: bool = False) -> None:
+        """Let users see values: (user_id, value) rows. reset: whoever saw these values before no longer does."""
+        self._grant(security.grant(self.grants, rows, reset))
+
+    def revoke(self, rows: list[tuple]) -> None:
+        self._grant(security.revoke(self.grants, rows))
+
+    def clear_grants(self, user: int | None = None, value=None) -> None:
+        self._grant(security.clear(self.grants, user, value))

@@ -114,3 +114,28 @@ def test_stream(spark, table, tmp_path):
     rows = spark.readStream.schema(spark.read.parquet(f"file://{tmp_path}/in").schema).parquet(f"file://{tmp_path}/in")
     upsert_stream(rows, table, f"file://{tmp_path}/ck", "o").awaitTermination()
     assert {i: v[0] for i, v in state(Repository.open(table)).items()} == {0: "s3", 1: "s4", 2: "s5"}
+
+
+def test_threads_and_items(spark, table):
+    repo = Repository.open(table)
+    rows = spark.createDataFrame([(i, f"n{i}", i % 3, "red", ["x"], 0) for i in range(25)], BATCH)
+    assert repo.validate(rows).collect() and {r["problem"] for r in repo.validate(rows).collect()} == {"unknown"}
+    repo.upsert(rows, now=1)
+    handles = [repo.update().where(m("n") == k).field("color", f"c{k}").commit_async() for k in range(3)]
+    assert sum(h.result().count for h in handles) == 25
+    assert {(v[1], v[2]) for v in state(repo).values()} == {(0, "c0"), (1, "c1"), (2, "c2")}
+    parts = list(repo.query().order_by("id").items(10))
+    assert [len(p) for p in parts] == [10, 10, 5] and [r["id"] for p in parts for r in p] == list(range(25))
+    repo.fetch(repo.query().q)
+    repo.fetch(repo.query().q)
+    assert [x["cached"] for x in repo.log] == [False, True] and repo.log[-1]["count"] == 25
+    repo.grant([(1, "a"), (2, "b")])
+    repo.revoke([(1, "a")])
+    assert [tuple(r) for r in repo.grants.collect()] == [(2, "b")]
+
+
+def test_misfits(spark):
+    from facetwise.operators.dml import misfits
+
+    rows = spark.createDataFrame([("1", "short"), (None, "far too long"), ("x", None)], "id string, name string")
+    assert {(r["field"], r["problem"], r["n"]) for r in misfits(rows, SCHEMA).collect()} == {("id", "not int", 1), ("id", "null", 1), ("name", "too long", 1)}
