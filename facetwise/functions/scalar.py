@@ -13,7 +13,7 @@ EPOCH = datetime(2000, 1, 1)
 METRES_A_MILE, EARTH_METRES = 1609.344, 6_371_008.8
 
 # Words that a word blob and a keyword search leave out.
-STOP_WORDS = "a about after all also an and any are as at be because been before being between both but by can come could did do each even for from get got had has have he her here him himself his how if in into is it its just like make many me might more most much must my never no now of on only or other our out over said same see should since so some still such take than that the their them then there these they this those through to too under up use very want was way we well were what when where which while who will with would you your".split()
+STOP_WORDS = "0 1 2 3 4 5 6 7 8 9 $ a about after all also an and another any are as at be because been before being between both but by came can come could did do does each else for from get got has had he have her here him himself his how if in into is it its just like make many me might more most much must my never no now of on only or other our out over re said same see should since so some still such take than that the their them then there these they this those through to too under up use very want was way we well were what when where which while who will with would you your".split()
 
 
 def facet_text(f: Field, c: Column) -> Column:
@@ -46,6 +46,7 @@ def row_hash(columns: list[Column]) -> Column:
 
 
 def word_blob(text: Column) -> Column:
-    """The text's different words without stop words, lower-cased, joined by spaces."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.array_join(F.array_except(words, F.array(*map(F.lit, STOP_WORDS))), " ")
+    """The text's words in order, without stop words whatever their case; quotes, commas, stops and line breaks count as spaces. NULL for an empty text."""
+    words = F.split(F.regexp_replace(text, "[\",.!?\\r\\n]", " "), " ")
+    kept = F.filter(words, lambda w: (w != "") & ~F.lower(w).isin(STOP_WORDS))
+    return F.when(text != "", F.array_join(kept, " "))

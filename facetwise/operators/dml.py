@@ -74,12 +74,12 @@ def upsert(old: DataFrame, batch: DataFrame, schema: Schema, now: int, ordinal:
     names = [f.name for f in schema.fields]
     ids = old.select(F.col(f"`{key}`").alias("__key"), "__record_idx")
     with_ids = new.join(ids, new[key] == ids["__key"], "left").drop("__key")
-    top = old.agg(F.coalesce(F.max("__record_idx"), F.lit(-1)).alias("__top"))  # one row
+    top = old.agg(F.coalesce(F.max("__record_idx"), F.lit(-1)).alias("__top")).withColumn("__one", F.lit(1))  # one row
     added = with_ids.filter("__record_idx is null").drop("__record_idx")
     place = F.col(f"`{key}`")
     coarse = F.substring(place, 1, 4) if schema.key.kind == Kind.STRING else F.floor(place / BUCKET) if schema.key.kind in (Kind.INT, Kind.LONG, Kind.FLOAT) else place
     added = numbered(added, "__rank", place, coarse)
-    added = added.crossJoin(F.broadcast(top)).withColumn("__record_idx", F.col("__top") + 1 + F.col("__rank")).drop("__top", "__rank")
+    added = added.withColumn("__one", F.lit(1)).join(F.broadcast(top), "__one").withColumn("__record_idx", F.col("__top") + 1 + F.col("__rank")).drop("__one", "__top", "__rank")
     changed = with_ids.filter("__record_idx is not null")
     columns = [*[F.col(f"`{n}`") for n in names], "__record_idx", F.lit(now).cast("int").alias("__timestamp"), "__hash"]
     untouched = old.join(new.select(F.col(f"`{key}`").alias("__key")), old[key] == F.col("__key"), "left_anti")

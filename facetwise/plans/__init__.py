@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..builder import m
+from ..functions.scalar import STOP_WORDS, word_blob
 from ..operators import dictionary, dml
 from ..query import Comparer, Filter, GeoFilter
 from ..schema import Field, Kind, Schema, dimension
@@ -321,6 +322,7 @@ def registered() -> dict[str, tuple]:
         "keyword_or": (keyword("Apache Creative"), keyword_sql("(apache|creative)")),
         "keyword_phrase": (keyword('"Public License"'), keyword_sql("public\\s+license")),
         "keyword_stop_word": (keyword("the"), f"with {R.DOCUMENTS_SQL} select doc_id from rec where false"),
+        "word_blob": (lambda spark, d: R.read(spark, d, "documents").select("doc_id", word_blob(F.col("text")).alias("blob")), "select doc_id, array_to_string(list_filter(string_split(regexp_replace(text, '[\",.!?\\r\\n]', ' ', 'g'), ' '), lambda w: w <> '' and lower(w) not in (" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")), ' ') as blob from documents"),
         "security_single": (q(lambda b: b.where_user(3).everything().select(*SHOWN["orders"])), rec + "c_nationkey % 5 = 3"),
         "security_multi": (q(lambda b: b.where_user(1, 6, 2).everything().select(*SHOWN["orders"])), rec + "c_nationkey % 5 in (1, 2)"),
         "url_query": (q(lambda b: b.where_url("https://x/?ff=c_nationkey,LessThanOrEq,12|c_mktsegment,Like,B*&fs=o_totalprice,0&rpp=30&po=2&fsel=c_mktsegment|o_orderstatus|o_totalprice").records().select("o_orderkey", "c_mktsegment", "o_orderstatus", "o_totalprice")), page_sql("o_totalprice desc nulls last, o_orderkey", "limit 30 offset 30", "c_nationkey <= 12 and c_mktsegment like 'B%'")),

@@ -108,4 +108,5 @@ def test_word_blob(spark):
 
     from facetwise.functions.scalar import word_blob
 
-    assert spark.createDataFrame([Row(t="The Red, red sky")]).select(word_blob(F.col("t")).alias("x")).first()["x"] == "red sky"
+    rows = spark.createDataFrame([Row(i=0, t="The Red, red\r\nsky. IS 7 \"x\""), Row(i=1, t=""), Row(i=2, t=None), Row(i=3, t="the")]).orderBy("i")
+    assert [r["x"] for r in rows.select(word_blob(F.col("t")).alias("x")).collect()] == ["Red red sky x", None, None, ""]
