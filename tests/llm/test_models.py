@@ -81,6 +81,10 @@ def test_language_model(spark, corpus):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_words():
+    assert lm.words("A\x1cB Über\x85É\x0b x\u3000Y\n") == ["a\x1cb", "Über\x85É", "x\u3000Y".replace("Y", "y")] and lm.words(" \t") == []
+
+
 def tiny_model():
     rng = np.random.default_rng(0)
     model = lm.Model(100, 50, 5, [(f"w{i}", 90 - i) for i in range(40)], {"zz": 42}, {42: (7, 3), 1: (5, 2)})
