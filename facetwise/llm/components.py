@@ -1,8 +1,8 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
 Nothing but counts reaches the driver. Each step writes its links to the shared folder, so a lost executor costs
-one step. Steps grow with the logarithm of the longest path. The hub of a star is aggregated before the shuffle;
-the join that gives a hub's links their new end has links on one side and one row for each node on the other.
+one step. Steps grow with the logarithm of the longest path. The hub of a star is aggregated before the shuffle, and
+its links get their new end from a broadcast of the few hubs, so no task sees all links of one node.
 """
 
 from __future__ import annotations
@@ -10,21 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import lookup, settle
 
 MOST_STEPS = 60
 
 
-def _star(links: DataFrame, both: bool) -> DataFrame:
-    """Link each node's neighbours (larger ones, or with itself the smaller ones) to the least of them."""
+def _star(links: DataFrame, both: bool, total: int) -> DataFrame:
+    """Link each node's neighbours (larger ones, or with itself the smaller ones) to the least of them. total: links there are."""
     sides = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if both:
         sides = sides.unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = sides.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        out = sides.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    least = sides.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+    if both:
+        least = least.withColumn("m", F.least("u", "m"))
+        out = lookup(sides.filter("v > u"), least, ["u"], "degree", 2 * total).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
-        least = sides.groupBy("u").agg(F.min("v").alias("m"))
-        out = sides.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        out = lookup(sides, least, ["u"], "degree", total).select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -45,7 +46,8 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(MOST_STEPS):
         if not state[0]:
             break
-        links = settle(_star(_star(links, True), False), "links")
+        wide = settle(_star(links, True, state[0]), "links")  # as many links as before at most
+        links = settle(_star(wide, False, state[0]), "links")
         now = _state(links)
         if now == state:
             break
