@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +79,16 @@ def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total
     return by_hot.unionByName(by_cold)
 
 
+_holder: list[tuple[str, Callable[[], None]]] = []
+
+
+def hold(owner: str, drop: Callable[[], None]) -> None:
+    """Say in a worker that owner's memo is in use; that of the operator before is dropped, as workers outlive stages."""
+    if _holder and _holder[0][0] != owner:
+        _holder[0][1]()
+    _holder[:] = [(owner, drop)]
+
+
 def by_hash(rows: DataFrame, key: str, want: int, total: int) -> DataFrame:
     """Of `total` rows those with the least hashes of key, about want of them and a few more, by a threshold.
 

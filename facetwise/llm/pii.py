@@ -250,7 +250,7 @@ def entities(text: str) -> list[tuple[int, int, str, Callable]]:
     return sorted(out, key=lambda x: x[0])
 
 
-@functools.lru_cache(200_000)
+@functools.lru_cache(100_000)
 def _made(make: Callable, original: str, key: bytes) -> str:
     return make(original, key)
 

@@ -19,6 +19,8 @@ from collections.abc import Callable
 import public_tokenizers
 import regex
 
+from .common import hold
+
 #: Spans that a worker's memo holds; longer ones than MEMO_CHARS are not kept.
 MEMO_SPANS, MEMO_CHARS = 400_000, 48
 
@@ -101,13 +103,18 @@ class SpanEncoder:
         return first + b"".join(map(self.spans.__getitem__, parts))
 
 
-@functools.cache
+_encoders: dict[str, SpanEncoder] = {}
+
+
 def library(name: str, lead: bool) -> SpanEncoder:
     """Of a file for the tokenizers library, without special tokens; their strings in a text are ordinary text.
 
     One for each worker process, whose memo serves all tasks that it runs.
     """
-    return SpanEncoder(name, lead)
+    hold("tokens", _encoders.clear)
+    if name not in _encoders:
+        _encoders[name] = SpanEncoder(name, lead)
+    return _encoders[name]
 
 
 def ranks(name: str) -> dict[bytes, int]:
