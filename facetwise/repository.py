@@ -11,6 +11,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .builder import Builder, Change, Slice
 from .errors import QueryError
@@ -258,6 +259,25 @@ class Repository:
         words = dictionary.grow(dml.conform(batch, self.schema), self.schema, self.dictionary)
         return self._write(dml.upsert(self.records, batch, self.schema, now, ordinal), words, expected)
 
+    def upsert_items(self, items: list, now: int | None = None, expected: str | None = None) -> CommitResult:
+        """upsert() of Python objects or dicts; later ones win. Texts are read as the field's kind, names that the schema lacks left out."""
+        rows, struct = [], self.schema.struct()
+        for place, item in enumerate(items):
+            own = {k.lower(): v for k, v in (item if isinstance(item, dict) else {**vars(item), **getattr(item, "extra_values", {})}).items()}
+            row = []
+            for f in self.schema.fields:
+                value = own.get(f.name.lower())
+                if f.kind == Kind.LIST:
+                    value = None if value is None else [str(x) for x in value]
+                elif f.kind == Kind.GEO:
+                    value = None if value is None else tuple(map(float, value))
+                else:
+                    value = predicates.coerce(f.kind, value)
+                row.append(value)
+            rows.append((*row, place))
+        spark = self.records.sparkSession
+        return self.upsert(spark.createDataFrame(rows, T.StructType([*struct.fields, T.StructField("__place_in_batch", T.IntegerType())])), "__place_in_batch", now, expected)
+
     def update(self) -> Change:
         return Change(self, "update")
 

@@ -7,6 +7,7 @@ version without its marker was never finished and is not read. Readers keep the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import StaleSchemaError
@@ -75,10 +76,17 @@ class SnapshotTable:
 
     @property
     def schema(self) -> Schema:
-        return Schema.from_json(self.files.get(f"{self.path}/{self.version}.done"))
+        return self.schema_at(self.version)
+
+    def schema_at(self, version: int) -> Schema:
+        return Schema.from_json(self.files.get(f"{self.path}/{version}.done"))
 
     def read(self, part: str = "records", version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(self.at(part, version))
+        """A part of a version. Records are read by their schema, as the folders of a grouping field say nothing of its type."""
+        version = self.version if version is None else version
+        reader = self.spark.read.schema(self.schema_at(version).struct(system=True)) if part == "records" else self.spark.read
+        rows = reader.parquet(self.at(part, version))
+        return rows.select(*[F.col(f"`{n}`") for n in self.schema_at(version).struct(system=True).names]) if part == "records" else rows
 
     def write(self, schema: Schema, records: DataFrame | None = None, dictionary: DataFrame | None = None, grants: DataFrame | None = None, expected: str | None = None) -> int:
         """A new version; parts that are None are those of the version before. expected: the schema's version hash that the writer knows."""

@@ -139,3 +139,23 @@ def test_misfits(spark):
 
     rows = spark.createDataFrame([("1", "short"), (None, "far too long"), ("x", None)], "id string, name string")
     assert {(r["field"], r["problem"], r["n"]) for r in misfits(rows, SCHEMA).collect()} == {("id", "not int", 1), ("id", "null", 1), ("name", "too long", 1)}
+
+
+def test_items_and_grouping(spark, tmp_path):
+    from dataclasses import dataclass, field
+
+    @dataclass
+    class Thing:
+        id: int
+        name: str
+        extra_values: dict = field(default_factory=dict)
+
+    schema = Schema("g", (Field("tenant", Kind.STRING, data_grouping=True), Field("id", Kind.INT, primary_key=True, nullable=False), Field("name", Kind.STRING), Field("price", Kind.FLOAT), Field("at", Kind.GEO), dimension("tags", Kind.LIST)))
+    table = SnapshotTable(spark, f"file://{tmp_path}/g", schema)
+    repo = Repository.open(table)
+    repo.upsert_items([Thing(1, "a", {"Price": "2.5", "tenant": "01"}), {"id": "2", "tags": ["x", "x"], "at": (1, 2), "tenant": "2", "nothing": 0}, Thing(1, "b", {"price": 3})], now=1)
+    rows = {r["id"]: (r["tenant"], r["name"], r["price"], r["tags"], r["at"] and tuple(r["at"])) for r in repo.records.collect()}
+    assert rows == {1: (None, "b", 3.0, None, None), 2: ("2", None, None, ["x"], (1.0, 2.0))}
+    repo.upsert_items([{"id": 1, "tenant": "01"}], now=2)
+    assert {r["tenant"] for r in repo.records.collect()} == {"01", "2"} and repo.records.columns[:2] == ["tenant", "id"]
+    assert "PartitionFilters: [isnotnull(tenant" in repo.query().where(m("tenant") == "01").everything()._jdf.queryExecution().toString()
