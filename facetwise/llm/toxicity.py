@@ -36,7 +36,7 @@ LEAD, LEVEL, LONG = b"\n>>> ", 19, 64
 #: A run is of these lengths, in at least LEAST texts and SHARE of the toxic ones, and ODDS times as usual there.
 RUNS, LEAST, SHARE, ODDS, SAME, DEPTH = (4, 5, 6), 3, 0.01, 50, 0.85, 4
 PATTERNS, WORDS, MEMO = 400, 3000, 300_000
-MARGINS, MOST_COUNTED = (1, 2, 3, 4, 5), 12
+MARGINS, MOST_COUNTED, FEW = (1, 2, 3, 4, 5), 12, 300
 
 
 def words(text: str) -> list[bytes]:
@@ -169,23 +169,39 @@ def apart(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
-def train(rows: list[tuple[str, int]]) -> Model:
-    """rows: (text, 1 if toxic), in an order that has nothing to do with the label."""
-    rows = apart(rows)
-    book, rest = [r for i, r in enumerate(rows) if i % 3], rows[::3]
-    toxic, ordinary = [t for t, y in book if y], [t for t, y in book if not y]
+def books(rows: list[tuple[str, int]]) -> Model | None:
+    """A model with dictionaries, not calibrated yet."""
+    toxic, ordinary = [t for t, y in rows if y], [t for t, y in rows if not y]
     found = patterns(toxic, ordinary) if toxic and ordinary else []
     if not found:
-        return Model()
+        return None
     usual = Counter(w for t in ordinary for w in words(t))
     usual_words = sorted(usual, key=lambda w: (-usual[w], w))[:WORDS]
     # what comes last is nearest and costs least to point at
-    model = Model(b"".join(LEAD + p for p in reversed(found)), b"".join(LEAD + w for w in reversed(usual_words)))
-    scorer, best = Scorer(model), None
-    gains = [(y, np.array(scorer.gains(words(t)) or [0])) for t, y in rest]
+    return Model(b"".join(LEAD + p for p in reversed(found)), b"".join(LEAD + w for w in reversed(usual_words)))
+
+
+def train(rows: list[tuple[str, int]]) -> Model:
+    """rows: (text, 1 if toxic), in an order that has nothing to do with the label.
+
+    A third of the rows is for calibration. Of few toxic rows none can be spared: then each third is calibrated on with
+    dictionaries of the other two, and the final ones are of all rows.
+    """
+    rows = apart(rows)
+    few = sum(y for _, y in rows) < FEW
+    gains, model = [], None
+    for third in range(3 if few else 1):
+        model = books([r for i, r in enumerate(rows) if i % 3 != third])
+        if model is not None:
+            scorer = Scorer(model)
+            gains += [(y, np.array(scorer.gains(words(t)) or [0])) for t, y in rows[third::3]]
+    if few:
+        model = books(rows)
+    if model is None or not gains:
+        return Model()
+    best, ys = None, np.array([y for y, _ in gains])
     for margin in MARGINS:
         counts = np.array([min(MOST_COUNTED, int((g >= margin).sum())) for _, g in gains])
-        ys = np.array([y for y, _ in gains])
         chances = monotone(np.bincount(counts[ys == 1], minlength=MOST_COUNTED + 1), np.bincount(counts, minlength=MOST_COUNTED + 1))
         p = np.array(chances)[counts]
         loss = -np.log(np.where(ys == 1, p, 1 - p)).mean()
