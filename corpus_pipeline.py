@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetwise.llm import exact_dedup, packing, pii, simhash, toxicity
+from facetwise.llm import exact_dedup, near_dedup, packing, pii, toxicity
 from facetwise.llm.common import settle, table
 
 
@@ -20,7 +20,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.survivors(docs)
+    return near_dedup.survivors(docs)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -240,13 +240,6 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, m
     return out.select("doc_id", F.lower(F.lpad(F.hex(first), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For whole documents that share 0.8 or more of their 5-word shingles: about 2 % of the words differ, so the
+#: Candidates among whole documents that share 0.8 or more of their 5-word shingles: about 2 % of the words differ, so the
 #: fingerprints of the different words, under four seeds, are within the radius under one of them in some 98 % of cases.
 NEAR = {"width": 1, "seeds": (42, 43, 44, 45), "distinct": True}
-
-
-def survivors(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs whose doc_id is the least of their component, with all their columns."""
-    found = near_duplicates(docs, **(how or NEAR))
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__kept_id"]), "left_semi")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 import corpus_pipeline  # noqa: E402
-from facetwise.llm import pii, simhash, toxicity  # noqa: E402
+from facetwise.llm import near_dedup, pii, simhash, toxicity  # noqa: E402
 from facetwise.llm.common import forget, lookup, settle, shared_dir, table  # noqa: E402
 from test_dedup import brute_components, brute_fingerprint  # noqa: E402
 from test_tokens import check_packed  # noqa: E402
@@ -42,6 +42,66 @@ def sf_dir(spark, tmp_path_factory):
     return f"file://{path}"
 
 
+def shingles(text):
+    words = text.lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def brute_groups(texts, candidates):
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sorted(texts):
+        for j in sorted(texts):
+            if i < j and candidates[i] == candidates[j] and alike(texts[i], texts[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in texts}
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for p in rng.sample(range(len(words)), n):
+        words[p] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+@pytest.fixture(scope="module")
+def copies():
+    """Two texts with many edited copies, a few with one or two, and texts with none."""
+    rng, out = random.Random(6), []
+    for many in (70, 40, 2, 1, 1, 0, 0, 0):
+        words = [f"{rng.choice('bcdfgl')}{rng.choice('aeiou')}{rng.randrange(500)}" for _ in range(rng.choice([220, 400]))]
+        out += [" ".join(words)] + [edited(rng, words, rng.choice([1, 2, 3])) for _ in range(many)]
+    return dict(enumerate(out))
+
+
+def test_groups_that_fit_are_exact(spark, copies):
+    keys = {i: [brute_fingerprint(t, 1, s, True) for s in simhash.NEAR["seeds"]] for i, t in copies.items()}
+    want = brute_groups(copies, brute_components(keys, simhash.RADIUS))
+    got = {r["doc_id"]: r["root"] for r in near_dedup.groups(spark.createDataFrame(list(copies.items()), "doc_id long, text string")).collect()}
+    assert {i: got.get(i, i) for i in copies} == want
+
+
+def test_large_groups_go_around_their_centre(spark, copies):
+    docs = spark.createDataFrame(list(copies.items()), "doc_id long, text string")
+    rows = near_dedup.groups(docs, members=8).collect()
+    assert len({r["doc_id"] for r in rows}) == len(rows)
+    for r in rows:
+        assert r["doc_id"] == r["root"] or alike(copies[r["doc_id"]], copies[r["root"]]) >= 0.8 or len([x for x in rows if x["root"] == r["root"]]) <= 8
+    stay = {r["doc_id"] for r in near_dedup.survivors(docs, members=8).collect()}
+    assert 0 in stay and 71 in stay and not stay & set(range(1, 71)) and not stay & set(range(72, 112))
+
+
 def test_pipeline(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scores = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, table(spark, sf_dir, "labels")).collect()}
@@ -52,7 +112,8 @@ def test_pipeline(spark, sf_dir):
         last[left[i]] = i
     left = {i: t for t, i in last.items()}
     keys = {i: [brute_fingerprint(t, 1, s, True) for s in simhash.NEAR["seeds"]] for i, t in left.items()}
-    roots = brute_components(keys, simhash.RADIUS)
+    candidates = brute_components(keys, simhash.RADIUS)
+    roots = brute_groups(left, candidates)
     left = {i: t for i, t in left.items() if roots[i] == i}
     assert len(left) < len(keys)
     want = [(i, pii.replaced(t)[0]) for i, t in left.items()]
