@@ -14,9 +14,10 @@ Documents without doc_id are in no group. Rows that repeat a doc_id are taken fo
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,7 +27,9 @@ from . import simhash
 from .common import lookup, settle, texts
 
 WIDTH, SIMILARITY = 5, 0.8
-MEMBERS, CHARS = 256, 16_000_000
+MEMBERS, CHARS = 3000, 12_000_000
+#: Shingles that are counted at once.
+BLOCK = 4096
 GROUP = "doc_id long, root long"
 
 
@@ -38,26 +41,38 @@ def near(a: set, b: set, similarity: float = SIMILARITY) -> bool:
     if min(len(a), len(b)) < similarity * max(len(a), len(b)):
         return False
     both = len(a & b)
-    return both >= similarity * (len(a) + len(b) - both)
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
 def groups_among(ids: list[int], sets: list[set], similarity: float = SIMILARITY) -> dict[int, int]:
-    """id -> least id of its group, of those that have a partner."""
-    root = {i: i for i in ids}
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for (i, a), (j, b) in combinations(zip(ids, sets), 2):
-        x, y = find(i), find(j)
-        if x != y and near(a, b, similarity):
-            root[max(x, y)] = min(x, y)
-    found = {i: find(i) for i in ids}
-    grouped = {r for i, r in found.items() if i != r}
-    return {i: r for i, r in found.items() if r in grouped}
+    """id -> least id of its group, of those that have a partner. ids ascend.
+
+    Shingles that several texts have make a matrix of zeros and ones; blocks of it times themselves count what each pair has in common.
+    """
+    counts = Counter(x for s in sets for x in s)
+    place = {x: i for i, x in enumerate(x for x, n in counts.items() if n > 1)}
+    both = np.zeros((len(ids), len(ids)), np.float32)
+    columns = [np.fromiter(sorted(place[x] for x in s if x in place), np.int64) for s in sets]
+    for lo in range(0, len(place), BLOCK):
+        block = np.zeros((len(ids), min(BLOCK, len(place) - lo)), np.float32)
+        for row, c in enumerate(columns):
+            block[row, c[np.searchsorted(c, lo) : np.searchsorted(c, lo + BLOCK)] - lo] = 1
+        both += block @ block.T
+    sizes = np.array([len(s) for s in sets], np.float64)
+    linked = both.astype(np.float64) >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-9
+    root, out = np.full(len(ids), -1), {}
+    for first in range(len(ids)):
+        if root[first] >= 0:
+            continue
+        group, frontier = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+        group[first] = frontier[first] = True
+        while frontier.any():
+            frontier = linked[frontier].any(axis=0) & ~group
+            group |= frontier
+        root[group] = first
+        if group.sum() > 1:
+            out |= {ids[i]: ids[first] for i in np.flatnonzero(group)}
+    return out
 
 
 def _whole(rows: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -118,7 +133,7 @@ def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
         total = left.count()
         small = lookup(left, sizes.filter(fits).select("component", "n"), ["component"], "n", total).filter("n is not null")
         here = settle(_whole(small, width, similarity), "groups")
-        out = here if out is None else out.unionByName(here)
+        out = here if out is None else settle(out.unionByName(here), "groups")
         big = sizes.filter(~fits).select("component", "n")
         if big.isEmpty():
             return out.dropDuplicates(["doc_id"])
