@@ -1,146 +1,270 @@
-"""Near-duplicate groups: candidates by SimHash, then the exact similarity of their word shingles.
+"""Near-duplicate groups by the exact similarity of word shingles: every pair that is near is found, at every size of group.
 
-Candidates are the components of simhash.near_duplicates over the different words of the texts. Two of them are near if
-their sets of `width`-word shingles have a resemblance (Jaccard) of `similarity` or more, computed from whole texts.
+Two documents are near if their sets of `width`-word shingles have a resemblance (Jaccard) of `similarity` or more, computed from
+whole texts. What is connected by near pairs is a group, whose least doc_id stays.
 
-A component that fits a task (at most MEMBERS texts and CHARS characters) is searched whole: every pair, and what is
-connected by near pairs is a group, whose least doc_id stays. A larger one, such as thousands of edited copies of one text, gives up the
-texts near its centre, the member closest to the bitwise majority of their fingerprints: they are a group, and the
-centre stays. What is left goes the same way until it fits; each round takes the centre out at least, and mostly
-all but a few. So no task holds a large group and no pairs are listed, and every text that goes is near one that it is grouped with.
+Candidates come from a prefix filter. In any fixed order of all shingles, two sets of a and b shingles that are near share at
+least similarity * max(a, b), so one of the first a - similarity * a + 1 of the one is among as many of the other: no near pair is missed,
+whatever the kind of edit. The order puts shingles that are common in a bounded sample last, which changes the work only.
+A pair also passes by its sizes, and by the shingles that are left behind the first one that it shares.
+
+In the bucket of a shingle, each document is first held against the bucket's smallest set that is within the sizes; then, for
+some rounds, against the next document in size. That connects nearly all that belongs together by about as many pairs as rows.
+Then the pairs of a bucket whose documents aren't connected yet are all held against each other, in blocks of `members` documents a side, so no task holds a large bucket. Pairs that are connected already need no look.
 
 Documents without doc_id are in no group. Rows that repeat a doc_id are taken for one document.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import lookup, settle, texts
+from .common import by_hash, lookup, settle, shuffle_partitions, texts
+from .components import components
 
 WIDTH, SIMILARITY = 5, 0.8
-MEMBERS, CHARS = 3000, 12_000_000
-#: Shingles that are counted at once.
-BLOCK = 4096
-GROUP = "doc_id long, root long"
+#: Documents of a bucket on one side of a block of pairs.
+MEMBERS = 2000
+#: Documents that show which shingles are common; a shingle is with so many of them; of the commonest so many are ordered.
+SHOWN, COMMON, ORDERED = 4000, 8, 200_000
+#: Rounds that hold documents of a bucket against the next one in size, before all that aren't connected.
+TURNS = 3
+#: Characters of texts whose shingles a worker keeps.
+KEPT = 8_000_000
+SLACK = 1e-9
 
 
 def shingle_set(text: str, width: int = WIDTH) -> set[int]:
     return set(map(xxhash.xxh64_intdigest, simhash.shingles(text, width)))
 
 
+def hashes(text: str, width: int = WIDTH) -> np.ndarray:
+    """The different shingles' hashes, as signed numbers that ascend."""
+    found = simhash.shingles(text, width)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)).view(np.int64))
+
+
 def near(a: set, b: set, similarity: float = SIMILARITY) -> bool:
     if min(len(a), len(b)) < similarity * max(len(a), len(b)):
         return False
     both = len(a & b)
-    return both >= similarity * (len(a) + len(b) - both) - 1e-9
-
-
-def groups_among(ids: list[int], sets: list[set], similarity: float = SIMILARITY) -> dict[int, int]:
-    """id -> least id of its group, of those that have a partner. ids ascend.
-
-    Shingles that several texts have make a matrix of zeros and ones; blocks of it times themselves count what each pair has in common.
-    """
-    counts = Counter(x for s in sets for x in s)
-    place = {x: i for i, x in enumerate(x for x, n in counts.items() if n > 1)}
-    both = np.zeros((len(ids), len(ids)), np.float32)
-    columns = [np.fromiter(sorted(place[x] for x in s if x in place), np.int64) for s in sets]
-    for lo in range(0, len(place), BLOCK):
-        block = np.zeros((len(ids), min(BLOCK, len(place) - lo)), np.float32)
-        for row, c in enumerate(columns):
-            block[row, c[np.searchsorted(c, lo) : np.searchsorted(c, lo + BLOCK)] - lo] = 1
-        both += block @ block.T
-    sizes = np.array([len(s) for s in sets], np.float64)
-    linked = both.astype(np.float64) >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-9
-    root, out = np.full(len(ids), -1), {}
-    for first in range(len(ids)):
-        if root[first] >= 0:
-            continue
-        group, frontier = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
-        group[first] = frontier[first] = True
-        while frontier.any():
-            frontier = linked[frontier].any(axis=0) & ~group
-            group |= frontier
-        root[group] = first
-        if group.sum() > 1:
-            out |= {ids[i]: ids[first] for i in np.flatnonzero(group)}
-    return out
-
-
-def _whole(rows: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Groups of components that fit a task."""
-
-    def run(key, table):
-        found = dict(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()))
-        ids = sorted(found)
-        out = groups_among(ids, [shingle_set(found[i], width) for i in ids], similarity)
-        return pa.table({"doc_id": pa.array(list(out), pa.int64()), "root": pa.array(list(out.values()), pa.int64())})
-
-    return rows.select("component", "doc_id", "text").groupBy("component").applyInArrow(run, GROUP)
-
-
-def _around_centres(rows: DataFrame, width: int, similarity: float) -> DataFrame:
-    """rows of large components with root: the centre for those near it, else NULL."""
-    sums = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))).alias(f"s{i}") for i in range(64)]
-    ones = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"), *sums)
-    bits = [F.when(F.col(f"s{i}") * 2 > F.col("n"), F.lit(simhash.signed(1 << i))).otherwise(F.lit(0)).cast("long") for i in range(64)]
-    middle = bits[0]
-    for b in bits[1:]:
-        middle = middle.bitwiseOR(b)
-    total = rows.count()
-    middles = settle(ones.select("component", "n", middle.alias("middle")), "middles")
-    placed = lookup(rows.select("doc_id", "component", "fp"), middles, ["component"], "n", total)
-    centres = placed.groupBy("component").agg(F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("middle"))).alias("far"), F.col("doc_id").alias("root"))).alias("c"), F.count(F.lit(1)).alias("n"))
-    centres = centres.select("component", F.col("c.root").alias("root"), "n")
-    own = rows.select(F.col("doc_id").alias("root"), "component", F.col("text").alias("centre"))
-    centres = settle(centres.join(own, ["root", "component"]).dropDuplicates(["component"]), "centres")  # one text of each component
+    return both >= similarity * (len(a) + len(b) - both) - SLACK
+
+
+def common_shingles(docs: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are common in a sample, ascending, and in how many of its documents each is. It orders only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(hashes(t, width))], ["key"])
+
+    some = by_hash(docs, "doc_id", SHOWN, docs.count()).select("text").mapInArrow(run, "key long")
+    rows = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(ORDERED).collect()
+    rows = sorted((r["key"], r["n"]) for r in rows)
+    return np.array([k for k, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
+
+
+def prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
+    """The first shingles of a set in the common order: as many as a near set has to share one of."""
+    keys, counts = common
+    rank = np.zeros(len(found), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+        rank = np.where(keys[at] == found, counts[at], 0)
+    length = len(found) - math.ceil(similarity * len(found) - SLACK) + 1
+    return found[np.lexsort((found, rank))][:length]
+
+
+def prefixes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, doc_id, n, pos): the shingles of each document's prefix, the size of its set, the place in the order. An empty set has key 0."""
+    common = common_shingles(docs, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, sizes, keys = b.column("doc_id").to_numpy(zero_copy_only=False), [], []
+            for t in b.column("text").to_pylist():
+                found = hashes(t, width)
+                sizes.append(len(found))
+                keys.append(prefix(found, common, similarity) if len(found) else np.zeros(1, np.int64))
+            many = [len(k) for k in keys]
+            places = np.concatenate([np.arange(m) for m in many]) if many else np.zeros(0, np.int64)
+            columns = [np.concatenate(keys) if keys else places, np.repeat(ids, many), np.repeat(np.array(sizes, np.int32), many), places.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc_id", "n", "pos"])
+
+    return docs.mapInArrow(run, "key long, doc_id long, n int, pos int")
+
+
+def passes(n: np.ndarray, pos: np.ndarray, m: int, at: int, similarity: float) -> np.ndarray:
+    """Whether sets of n and of m shingles can be near, if the first that they share is at pos and at `at`."""
+    need = similarity / (1 + similarity) * (n.astype(np.float64) + m)
+    return (np.minimum(n, m) >= similarity * np.maximum(n, m) - SLACK) & (1 + np.minimum(n - pos - 1, m - at - 1) >= need - SLACK)
+
+
+def _stars(similarity: float):
+    """Over rows (key, n, doc_id, pos) sorted by the first three: pairs with the bucket's smallest set within the sizes (key NULL),
+    and the rows of buckets of several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple = (None, set())
+        last = None  # the row before, and whether it has gone out
+        centre = None  # key, n, doc_id
         for b in batches:
-            roots = []
-            for text, centre, root in zip(b.column("text").to_pylist(), b.column("centre").to_pylist(), b.column("root").to_pylist()):
-                if kept[0] != root:
-                    kept = (root, shingle_set(centre, width))
-                roots.append(root if near(shingle_set(text, width), kept[1], similarity) else None)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", "component", "fp", "text")] + [pa.array(roots, pa.int64())], ["doc_id", "component", "fp", "text", "root"])
+            key, n, ids, pos = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "doc_id", "pos"))
+            if not len(key):
+                continue
+            again = np.empty(len(key), bool)
+            again[0] = last is not None and last[0][0] == key[0]
+            again[1:] = key[1:] == key[:-1]
+            several = again.copy()
+            several[:-1] |= again[1:]
+            rows, pairs = [], []
+            if again[0] and not last[1]:
+                rows.append(last[0])
+            for i in np.flatnonzero(several).tolist():
+                k, m, d = int(key[i]), int(n[i]), int(ids[i])
+                if again[i] and (centre is None or centre[0] != k):  # the bucket began in the batch before
+                    centre = last[0][:3]
+                if not again[i] or centre[1] < similarity * m - SLACK:
+                    centre = (k, m, d)
+                elif centre[2] != d:
+                    pairs.append((centre[2], d))
+            at = np.flatnonzero(several)
+            out = [np.concatenate([np.array([r[j] for r in rows], c.dtype), c[at]]) for j, c in enumerate((key, n, ids, pos))]
+            last = ((int(key[-1]), int(n[-1]), int(ids[-1]), int(pos[-1])), bool(several[-1]))
+            some = [pa.array(out[0]), pa.array(out[2]), pa.array(out[1]), pa.array(out[3]), pa.nulls(len(out[0]), pa.int64())]
+            yield pa.RecordBatch.from_arrays(some, ["key", "doc_id", "n", "pos", "other"])
+            if pairs:
+                ends = np.array(pairs, np.int64)
+                some = [pa.nulls(len(ends), pa.int64()), pa.array(ends[:, 0]), pa.nulls(len(ends), pa.int32()), pa.nulls(len(ends), pa.int32()), pa.array(ends[:, 1])]
+                yield pa.RecordBatch.from_arrays(some, ["key", "doc_id", "n", "pos", "other"])
+
+    return run
+
+
+def _crossed(similarity: float):
+    """Over rows sorted by (key, lo, hi): pairs (a, b) of a block whose documents have different roots and can be near."""
+
+    def pairs(rows: list[np.ndarray], lo: int, hi: int) -> tuple[list, list]:
+        n, ids, pos, root, block = rows
+        order, a, b = np.argsort(n, kind="stable"), [], []
+        n, ids, pos, root, block = n[order], ids[order], pos[order], root[order], block[order]
+        ends = np.searchsorted(n, np.floor(n / similarity + SLACK), "right")
+        for i in range(len(n)):
+            span = slice(i + 1, ends[i])
+            ok = (root[span] != root[i]) & passes(n[span], pos[span], int(n[i]), int(pos[i]), similarity)
+            if lo != hi:
+                ok &= block[span] != block[i]
+            found = ids[span][ok]
+            if len(found):
+                a.append(np.minimum(found, ids[i]))
+                b.append(np.maximum(found, ids[i]))
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_key = [], None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                a, b = pairs([np.concatenate(c) for c in zip(*held)], *held_key[1:])
+                held.clear()
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, lo, hi, *rest = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "lo", "hi", "n", "doc_id", "pos", "root", "block"))
+            new = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            for s, e in zip([0, *new.tolist()], [*new.tolist(), len(key)]):
+                here = (int(key[s]), int(lo[s]), int(hi[s]))
+                if here != held_key:
+                    yield from close()
+                    held_key = here
+                held.append([c[s:e] for c in rest])
+        yield from close()
+
+    return run
+
+
+def _near_pairs(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) that are near, by their whole texts."""
+    pairs = settle(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    some = settle(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "pair-texts")
+    second = pairs.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("second")), "b")
+    both = second.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("first")), "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[int, set] = {}
+        room = KEPT
+
+        def read(doc_id: int, text: pa.StringScalar) -> set:
+            nonlocal room
+            if doc_id not in memo:
+                text = text.as_py()
+                room -= len(text)
+                if room < 0:
+                    memo.clear()
+                    room = KEPT - len(text)
+                memo[doc_id] = shingle_set(text, width)
+            return memo[doc_id]
+
+        for b in batches:
+            first, second, a, c = (b.column(x) for x in ("first", "second", "a", "b"))
+            a, c = a.to_pylist(), c.to_pylist()
+            keep = [near(read(x, first[i]), read(y, second[i]), similarity) for i, (x, y) in enumerate(zip(a, c))]
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep, pa.bool_())), b.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+
+    return settle(both.mapInArrow(run, "a long, b long"), "near-pairs")
+
+
+def _open(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of buckets whose documents the known links don't connect, with root and the size of the bucket."""
+    rows = rows.join(components(known).select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    rows = settle(rows, "bucket-roots")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r"), F.max("root").alias("s"))
+    sizes = settle(sizes.filter("r <> s").select("key", "size"), "open-buckets")
+    return settle(lookup(rows, sizes, ["key"], "size", rows.count()).filter("size is not null"), "open-rows")
+
+
+def links(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, members: int = MEMBERS) -> DataFrame:
+    """Near pairs (a, b) of doc_ids that connect just what all near pairs connect."""
+    docs = texts(docs).filter("doc_id is not null")
+    parts = shuffle_partitions(docs.sparkSession)
+    dealt = prefixes(docs, width, similarity).repartition(parts, "key").sortWithinPartitions("key", "n", "doc_id")
+    found = settle(dealt.mapInArrow(_stars(similarity), "key long, doc_id long, n int, pos int, other long"), "prefix-buckets")
+    stars = _near_pairs(found.filter("other is not null").select(F.col("doc_id").alias("a"), F.col("other").alias("b")), docs, width, similarity)
 
-    both = lookup(rows, centres, ["component"], "n", total).select("doc_id", "component", "fp", "text", "centre", "root")
-    return both.mapInArrow(run, "doc_id long, component long, fp long, text string, root long")
+    rows, known = found.filter("other is null").drop("other"), stars
+    for turn in range(TURNS):
+        left = _open(rows, known)
+        after = Window.partitionBy("key").orderBy("n", F.xxhash64("doc_id", F.lit(turn)))
+        beside = left.select("doc_id", "root", "n", F.lag("doc_id").over(after).alias("a"), F.lag("root").over(after).alias("r"), F.lag("n").over(after).alias("m"))
+        beside = beside.filter((F.col("root") != F.col("r")) & (F.col("m") >= similarity * F.col("n") - SLACK))
+        more = _near_pairs(beside.select("a", F.col("doc_id").alias("b")), docs, width, similarity)
+        if more.isEmpty():
+            break
+        known = known.unionByName(more)
+    left = _open(rows, known)
+    left = left.withColumn("blocks", F.ceil(F.col("size") / members).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    left = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "n", "doc_id", "pos", "root", "block")
+    sorted_ = left.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    rest = sorted_.mapInArrow(_crossed(similarity), "a long, b long")
+    return known.unionByName(_near_pairs(rest, docs, width, similarity))
 
 
-def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, members: int = MEMBERS, chars: int = CHARS) -> DataFrame:
+def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, members: int = MEMBERS) -> DataFrame:
     """(doc_id, root) of every document in a group: the doc_id that stays."""
-    found = settle(simhash.near_duplicates(docs, **simhash.NEAR).filter("doc_id is not null"), "candidates")
-    sizes = found.groupBy("component_id").agg(F.countDistinct("doc_id").alias("n"))
-    several = settle(sizes.filter("n > 1").select("component_id", "n"), "candidate-sizes")
-    chosen = lookup(found.select("doc_id", "component_id", "fingerprint"), several, ["component_id"], "n", found.count()).filter("n > 1")
-    fp = F.conv("fingerprint", 16, -10).cast("long")
-    chosen = chosen.select("doc_id", F.col("component_id").alias("component"), fp.alias("fp")).dropDuplicates(["doc_id"])
-    left = settle(texts(docs).join(chosen, "doc_id"), "candidate-texts")
-    out = None
-    while True:
-        sizes = settle(left.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).filter("n > 1"), "sizes")
-        fits = (F.col("n") <= members) & (F.col("chars") <= chars)
-        total = left.count()
-        small = lookup(left, sizes.filter(fits).select("component", "n"), ["component"], "n", total).filter("n is not null")
-        here = settle(_whole(small, width, similarity), "groups")
-        out = here if out is None else settle(out.unionByName(here), "groups")
-        big = sizes.filter(~fits).select("component", "n")
-        if big.isEmpty():
-            return out.dropDuplicates(["doc_id"])
-        large = settle(lookup(left, big, ["component"], "n", total).filter("n is not null").drop("n"), "large")
-        tried = settle(_around_centres(large, width, similarity), "around-centres")
-        out = out.unionByName(tried.filter("root is not null").select("doc_id", "root"))
-        left = tried.filter("root is null").drop("root")
+    return components(links(docs, width, similarity, members)).select(F.col("node").alias("doc_id"), "root")
 
 
 def survivors(docs: DataFrame, **how) -> DataFrame:

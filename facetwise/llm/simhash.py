@@ -240,6 +240,6 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, m
     return out.select("doc_id", F.lower(F.lpad(F.hex(first), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Candidates among whole documents that share 0.8 or more of their 5-word shingles: about 2 % of the words differ, so the
-#: fingerprints of the different words, under four seeds, are within the radius under one of them in some 98 % of cases.
+#: Fingerprints of the different words under four seeds, which are near for copies with few scattered edits. Copies with a block added or
+#: removed are mostly missed, so near_dedup doesn't search by them; the tests still compare with them.
 NEAR = {"width": 1, "seeds": (42, 43, 44, 45), "distinct": True}

@@ -102,6 +102,46 @@ def test_large_groups_go_around_their_centre(spark, copies):
     assert 0 in stay and 71 in stay and not stay & set(range(1, 71)) and not stay & set(range(72, 112))
 
 
+def brute_near_groups(texts):
+    return brute_groups(texts, dict.fromkeys(texts, 0))
+
+
+def test_blocks_added_and_removed_are_found(spark):
+    """All pairs by brute force: texts with blocks appended, put first or cut off on either side, up to and over the limit, and a passage that all have."""
+    rng, out = random.Random(8), []
+    say = lambda n: [f"{rng.choice('bcdfgl')}{rng.choice('aeiou')}{rng.randrange(500)}" for _ in range(n)]
+    shared = say(12)
+    for _ in range(40):
+        words = shared + say(rng.choice([90, 260]))
+        n = len(words)
+        out.append(words)
+        for share in (0.12, 0.17, 0.22, 0.26):
+            k = int(n * share)
+            out.append(rng.choice([words + say(k), say(k) + words, words[: n - k], words[k:]]))
+    out += [[], [" "], ["one"], ["one"], shared, shared[1:]]
+    docs = dict(enumerate(" ".join(x) for x in out))
+    want = brute_near_groups(docs)
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["root"] for r in near_dedup.groups(frame).collect()}
+    assert sum(i != r for i, r in want.items()) > 80
+    assert {i: got.get(i, i) for i in docs} == want
+
+
+def test_a_chain_is_one_group_at_every_size(spark):
+    """Revisions that are near the next ones only: one stays, also where the groups are larger than a block."""
+    rng = random.Random(9)
+    words, chain = [f"w{rng.randrange(10**6)}" for _ in range(200)], []
+    for _ in range(60):
+        chain.append(" ".join(words))
+        words[rng.randrange(200)] = f"new{rng.randrange(10**6)}"
+        words[rng.randrange(200)] = f"new{rng.randrange(10**6)}"
+    docs = dict(zip(rng.sample(range(1000), 60), chain))
+    assert alike(chain[0], chain[-1]) < 0.1 and set(brute_near_groups(docs).values()) == {min(docs)}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for members in (8, near_dedup.MEMBERS):
+        assert {r["doc_id"]: r["root"] for r in near_dedup.groups(frame, members=members).collect()} == dict.fromkeys(docs, min(docs))
+
+
 def test_pipeline(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scores = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, table(spark, sf_dir, "labels")).collect()}
