@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A key with at least this share of all rows is hot; so at most HOT_KEYS keys are.
 HOT_KEYS = 256
+#: Rows of at most three numbers that may be broadcast.
+FEW = 500_000
 #: Smaller groups are never treated as hot.
 HOT_LEAST = 1000
 
@@ -79,6 +81,34 @@ def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total
     return by_hot.unionByName(by_cold)
 
 
+def few(keys: DataFrame) -> bool:
+    """Whether keys, of a few numbers a row, has so few rows that it may be broadcast."""
+    return keys.count() <= FEW
+
+
+def _on(rows: DataFrame, keys: DataFrame, names: list[str], how: str) -> DataFrame:
+    """rows joined with keys by names, nulls being equal, by a broadcast of few keys and otherwise by a shuffle. Of an inner join the key columns are those of rows."""
+    other = keys.select(*[F.col(c).alias(f"__{c}") if c in names else F.col(c) for c in keys.columns])
+    same = None
+    for c in names:
+        one = F.col(c).eqNullSafe(F.col(f"__{c}"))
+        same = one if same is None else same & one
+    out = rows.join(F.broadcast(other) if few(keys) else other, same, how)
+    return out.drop(*[f"__{c}" for c in names]) if how == "inner" else out
+
+
+def keep_only(rows: DataFrame, keys: DataFrame, names: list[str], *columns: str) -> DataFrame:
+    """The rows whose names are in keys, a settled table with each once; with those columns of keys."""
+    if columns:
+        return _on(rows, keys.select(*names, *columns), names, "inner")
+    return _on(rows, keys.select(*names), names, "left_semi")
+
+
+def without(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """The rows whose names aren't in keys, a settled table."""
+    return _on(rows, keys.select(*names), names, "left_anti")
+
+
 _holder: list[tuple[str, Callable[[], None]]] = []
 
 
@@ -89,14 +119,20 @@ def hold(owner: str, drop: Callable[[], None]) -> None:
     _holder[:] = [(owner, drop)]
 
 
-def by_hash(rows: DataFrame, key: str, want: int, total: int) -> DataFrame:
-    """Of `total` rows those with the least hashes of key, about want of them and a few more, by a threshold.
+def by_hash(rows: DataFrame, keys: list[str], want: int, total: int) -> DataFrame:
+    """Of `total` rows about `want` and a few more: those whose keys have the least hashes, by a threshold.
 
-    A sort with a limit would send as many rows from every task to the driver.
+    A sort with a limit would send as many rows from every task to the driver. Rows that are alike in all keys come together
+    or not at all; collected() bounds what reaches the driver.
     """
     span = 1 << 40
     most = span if total <= want else min(span, int(span * (1.2 * want + 40) / total))
-    return rows.filter(F.pmod(F.xxhash64(key), F.lit(span)) < F.lit(most))
+    return rows.filter(F.pmod(F.xxhash64(*keys), F.lit(span)) < F.lit(most))
+
+
+def collected(rows: DataFrame, order: list[str], most: int) -> list:
+    """The first `most` rows by order: each task gives so many at most before they meet."""
+    return rows.orderBy(*order).limit(most).collect()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

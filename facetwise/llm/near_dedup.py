@@ -1,165 +1,163 @@
-"""Near-duplicate groups by the exact similarity of word shingles: every pair that is near is found, at every size of group.
-
-Two documents are near if their sets of `width`-word shingles have a resemblance (Jaccard) of `similarity` or more, computed from
-whole texts. What is connected by near pairs is a group, whose least doc_id stays.
-
-Candidates come from a prefix filter. In any fixed order of all shingles, two sets of a and b shingles that are near share at
-least similarity * max(a, b), so one of the first a - similarity * a + 1 of the one is among as many of the other: no near pair is missed,
-whatever the kind of edit. The order puts shingles that are common in a bounded sample last, which changes the work only.
-A pair also passes by its sizes, and by the shingles that are left behind the first one that it shares.
-
-In the bucket of a shingle, each document is first held against the bucket's smallest set that is within the sizes; then, for
-some rounds, against the next document in size. That connects nearly all that belongs together by about as many pairs as rows.
-Then the pairs of a bucket whose documents aren't connected yet are all held against each other, in blocks of `members` documents a side, so no task holds a large bucket. Pairs that are connected already need no look.
-
-Documents without doc_id are in no group. Rows that repeat a doc_id are taken for one document.
+"""Near-duplicate groups of documents: SimHash classes verified by word shingles, and every near pair that they miss.
+
+Two documents are near if their sets of `width`-word shingles have a resemblance (Jaccard) of `similarity` or more, computed
+from whole texts. What is connected by near pairs is a group, of which the row with the least doc_id stays.
+
+1. Documents with the same shingle set are linked to the first of them, and that one goes on alone.
+2. SimHash (simhash.classes: covering tables over fingerprints of the shingle sets) gives classes, whose members are held
+   against the class's first one.
+3. Fingerprints miss copies with blocks added or cut off. So every document gives a prefix of its shingles in the order of
+   their hashes. Two near sets of a and b shingles share t = similarity * max(a, b) at least, so the first a - t + k of the one and
+   b - t + k of the other have k in common (k = SHARE of the set and one more). A document of which fewer are in the prefix
+   of any other has no near one. Of what is left the k - 1 commonest go; a near pair still shares one. No near pair is lost,
+   whatever the kind of edit.
+4. In the bucket of a shingle each document is held against the first of about its size and against the next one in size,
+   which connects nearly all that belongs together by about as many pairs as rows. Then the pairs of a bucket whose
+   documents aren't connected yet are all held against each other, in blocks of `members` documents a side, so
+   no task holds a large bucket.
+
+Null text counts as empty; empty sets are the same set. A row is told by its doc_id and its text: rows that repeat both are one
+document, a doc_id with several texts is several documents. Documents without doc_id take part and come last in order.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import by_hash, lookup, settle, shuffle_partitions, texts
+from .common import by_hash, keep_only, lookup, settle, shuffle_partitions, texts, without
 from .components import components
 
 WIDTH, SIMILARITY = 5, 0.8
+#: Share of a set that two near ones have in common in the prefixes, besides one.
+SHARE = 0.1
 #: Documents of a bucket on one side of a block of pairs.
-MEMBERS = 2000
-#: Documents that show which shingles are common; a shingle is with so many of them; of the commonest so many are ordered.
-SHOWN, COMMON, ORDERED = 4000, 8, 200_000
-#: Rounds that hold documents of a bucket against the next one in size, before all that aren't connected.
-TURNS = 3
-#: Characters of texts whose shingles a worker keeps.
-KEPT = 8_000_000
+MEMBERS = 256
+#: Rows that show which prefix shingles are so common that one task should not get all rows of one; they are then dealt
+#: to several, where one of them would have over 1 / HOT of a task's usual rows and HOT_LEAST.
+SHOWN, HOT, HOT_LEAST = 4000, 4, 50_000
 SLACK = 1e-9
 
 
-def shingle_set(text: str, width: int = WIDTH) -> set[int]:
-    return set(map(xxhash.xxh64_intdigest, simhash.shingles(text, width)))
-
-
-def hashes(text: str, width: int = WIDTH) -> np.ndarray:
+def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
     """The different shingles' hashes, as signed numbers that ascend."""
-    found = simhash.shingles(text, width)
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)).view(np.int64))
-
-
-def near(a: set, b: set, similarity: float = SIMILARITY) -> bool:
-    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
-        return False
-    both = len(a & b)
-    return both >= similarity * (len(a) + len(b) - both) - SLACK
+    return np.unique(simhash.shingle_hashes(text, width).view(np.int64))
 
 
-def common_shingles(docs: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are common in a sample, ascending, and in how many of its documents each is. It orders only."""
+def least_shared(n: int, similarity: float) -> int:
+    return math.ceil(similarity * n - SLACK)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(hashes(t, width))], ["key"])
 
-    some = by_hash(docs, "doc_id", SHOWN, docs.count()).select("text").mapInArrow(run, "key long")
-    rows = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(ORDERED).collect()
-    rows = sorted((r["key"], r["n"]) for r in rows)
-    return np.array([k for k, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
+def prefix_length(n: int, similarity: float, share: float = SHARE) -> int:
+    return min(n, n - least_shared(n, similarity) + int(share * n) + 1)
 
 
-def prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
-    """The first shingles of a set in the common order: as many as a near set has to share one of."""
-    keys, counts = common
-    rank = np.zeros(len(found), np.int64)
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-        rank = np.where(keys[at] == found, counts[at], 0)
-    length = len(found) - math.ceil(similarity * len(found) - SLACK) + 1
-    return found[np.lexsort((found, rank))][:length]
-
-
-def prefixes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, doc_id, n, pos): the shingles of each document's prefix, the size of its set, the place in the order. An empty set has key 0."""
-    common = common_shingles(docs, width)
+def heads(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """row (a number for each row), doc_id, h (of the text), n, digest (of the set), fp, keys (the prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, sizes, keys = b.column("doc_id").to_numpy(zero_copy_only=False), [], []
-            for t in b.column("text").to_pylist():
-                found = hashes(t, width)
-                sizes.append(len(found))
-                keys.append(prefix(found, common, similarity) if len(found) else np.zeros(1, np.int64))
-            many = [len(k) for k in keys]
-            places = np.concatenate([np.arange(m) for m in many]) if many else np.zeros(0, np.int64)
-            columns = [np.concatenate(keys) if keys else places, np.repeat(ids, many), np.repeat(np.array(sizes, np.int32), many), places.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc_id", "n", "pos"])
-
-    return docs.mapInArrow(run, "key long, doc_id long, n int, pos int")
-
-
-def passes(n: np.ndarray, pos: np.ndarray, m: int, at: int, similarity: float) -> np.ndarray:
-    """Whether sets of n and of m shingles can be near, if the first that they share is at pos and at `at`."""
-    need = similarity / (1 + similarity) * (n.astype(np.float64) + m)
-    return (np.minimum(n, m) >= similarity * np.maximum(n, m) - SLACK) & (1 + np.minimum(n - pos - 1, m - at - 1) >= need - SLACK)
-
-
-def _stars(similarity: float):
-    """Over rows (key, n, doc_id, pos) sorted by the first three: pairs with the bucket's smallest set within the sizes (key NULL),
-    and the rows of buckets of several."""
+        from pyspark import TaskContext
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the row before, and whether it has gone out
-        centre = None  # key, n, doc_id
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
-            key, n, ids, pos = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "doc_id", "pos"))
-            if not len(key):
-                continue
-            again = np.empty(len(key), bool)
-            again[0] = last is not None and last[0][0] == key[0]
-            again[1:] = key[1:] == key[:-1]
-            several = again.copy()
-            several[:-1] |= again[1:]
-            rows, pairs = [], []
-            if again[0] and not last[1]:
-                rows.append(last[0])
-            for i in np.flatnonzero(several).tolist():
-                k, m, d = int(key[i]), int(n[i]), int(ids[i])
-                if again[i] and (centre is None or centre[0] != k):  # the bucket began in the batch before
-                    centre = last[0][:3]
-                if not again[i] or centre[1] < similarity * m - SLACK:
-                    centre = (k, m, d)
-                elif centre[2] != d:
-                    pairs.append((centre[2], d))
-            at = np.flatnonzero(several)
-            out = [np.concatenate([np.array([r[j] for r in rows], c.dtype), c[at]]) for j, c in enumerate((key, n, ids, pos))]
-            last = ((int(key[-1]), int(n[-1]), int(ids[-1]), int(pos[-1])), bool(several[-1]))
-            some = [pa.array(out[0]), pa.array(out[2]), pa.array(out[1]), pa.array(out[3]), pa.nulls(len(out[0]), pa.int64())]
-            yield pa.RecordBatch.from_arrays(some, ["key", "doc_id", "n", "pos", "other"])
-            if pairs:
-                ends = np.array(pairs, np.int64)
-                some = [pa.nulls(len(ends), pa.int64()), pa.array(ends[:, 0]), pa.nulls(len(ends), pa.int32()), pa.nulls(len(ends), pa.int32()), pa.array(ends[:, 1])]
-                yield pa.RecordBatch.from_arrays(some, ["key", "doc_id", "n", "pos", "other"])
-
-    return run
+            sizes, digests, fps, keys = [], [], [], []
+            for t in b.column("text"):
+                found = shingle_set(t.as_py(), width)
+                sizes.append(len(found))
+                digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                fps.append(simhash.signed(simhash.majority(found.view(np.uint64))))
+                keys.append(found[: prefix_length(len(found), similarity)])
+            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            rows = pa.array(np.arange(row, row + b.num_rows))
+            row += b.num_rows
+            yield pa.RecordBatch.from_arrays([rows, b.column("doc_id"), b.column("h"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(fps, pa.int64()), lists], ["row", "doc_id", "h", "n", "digest", "fp", "keys"])
+
+    named = texts(docs).select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return named.mapInArrow(run, "row long, doc_id long, h long, n int, digest binary, fp long, keys array<long>")
+
+
+def dealt(rows: DataFrame, heads_: DataFrame) -> DataFrame:
+    """rows (key, row, n) with salt: 0, but for the commonest keys one of several, so that no task gets all of such a key."""
+    docs = heads_.count()
+    shown = by_hash(heads_, ["row"], SHOWN, docs).select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("shown"))
+    total = heads_.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    usual = max(HOT_LEAST, total // (HOT * shuffle_partitions(rows.sparkSession)))
+    scale = max(1.0, docs / SHOWN)
+    hot = shown.filter(F.col("shown") * scale >= usual).select("key", F.ceil(F.col("shown") * scale / usual).cast("int").alias("salts"))
+    # such keys have at least `usual` rows each, so there are HOT times as many as tasks at most, and a few that chance adds
+    rows = rows.join(F.broadcast(hot), "key", "left")
+    return rows.withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("row"), F.col("salts"))).otherwise(0).cast("int")).withColumn("hot", F.col("salts").isNotNull()).drop("salts")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (key, salt) those that aren't alone; those of hot keys never count as alone."""
+    names, last = ["key", "row", "n"], None  # the row before: its place in the order, itself, whether it has gone out
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, salt, hot = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "salt", "hot"))
+        again = np.empty(len(key), bool)
+        again[0] = last is not None and last[0] == (key[0], salt[0])
+        again[1:] = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1])
+        out = again | hot
+        out[:-1] |= again[1:]
+        own = b.select(names)
+        if again[0] and not last[2]:
+            yield last[1]
+        if out.any():
+            yield own.filter(pa.array(out))
+        last = ((key[-1], salt[-1]), own.slice(b.num_rows - 1), bool(out[-1]))
+
+
+def buckets(heads_: DataFrame, similarity: float) -> DataFrame:
+    """(key, row, n, size): for each near pair, a key that both rows have; size: rows of the key."""
+    rows = dealt(heads_.select(F.explode("keys").alias("key"), "row", "n"), heads_)
+    sorted_ = rows.repartition(shuffle_partitions(heads_.sparkSession), "key", "salt").sortWithinPartitions("key", "salt")
+    found = settle(sorted_.mapInArrow(_shared, "key long, row long, n int"), "shared-prefixes")
+    # k for the lesser of two near sets: their sizes differ by the similarity at most
+    need = F.floor(F.lit(SHARE) * F.ceil(F.lit(similarity) * F.col("n") - SLACK)) + 1
+    some = settle(found.groupBy("row", "n").agg(F.count(F.lit(1)).alias("have")).filter(F.col("have") >= need).select("row"), "rows-that-share")
+    found = settle(keep_only(found, some, ["row"]), "prefixes")
+    sizes = found.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    found = lookup(found, sizes, ["key"], "size", found.count()).filter("size is not null")
+    rare, own = Window.partitionBy("row").orderBy("size", "key"), Window.partitionBy("row")  # a row has a prefix of keys at most
+    found = found.withColumn("nth", F.row_number().over(rare)).withColumn("have", F.count(F.lit(1)).over(own))
+    return settle(found.filter(F.col("nth") <= F.col("have") - need + 1).select("key", "row", "n", "size"), "buckets")
+
+
+def _beside(rows: DataFrame, similarity: float, members: int) -> DataFrame:
+    """Pairs (a, b): each row with the first of its part of a bucket that is of about its size, with the next one in size, and those firsts of a bucket."""
+    rows = rows.withColumn("part", F.when(F.col("size") > members, F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / members))).otherwise(0).cast("int"))
+    rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(similarity))).cast("int") if similarity < 1 else F.col("n"))
+    after = Window.partitionBy("key", "part").orderBy("n", "row")  # about `members` rows
+    whole = after.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.first("row").over(Window.partitionBy("key", "part", "band").orderBy("n", "row"))
+    rows = rows.select("key", "part", "band", "row", "n", F.lag("row").over(after).alias("before"), F.lag("n").over(after).alias("m"), first.alias("first"), F.count(F.lit(1)).over(whole).alias("rows"))
+    firsts = rows.filter(F.col("row") == F.col("first")).select("key", "band", "row")
+    parts = firsts.join(firsts.groupBy("key", "band").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("parts")).filter("parts > 1"), ["key", "band"])
+    beside = rows.filter(F.col("m") >= similarity * F.col("n") - SLACK).select(F.col("before").alias("a"), F.col("row").alias("b"))
+    return beside.unionByName(rows.select(F.col("first").alias("a"), F.col("row").alias("b"))).unionByName(parts.select(F.col("first").alias("a"), F.col("row").alias("b")))
 
 
 def _crossed(similarity: float):
-    """Over rows sorted by (key, lo, hi): pairs (a, b) of a block whose documents have different roots and can be near."""
+    """Over rows sorted by (key, lo, hi): pairs (a, b) of a block whose rows have different roots and sizes that fit."""
 
     def pairs(rows: list[np.ndarray], lo: int, hi: int) -> tuple[list, list]:
-        n, ids, pos, root, block = rows
+        n, ids, root, block = rows
         order, a, b = np.argsort(n, kind="stable"), [], []
-        n, ids, pos, root, block = n[order], ids[order], pos[order], root[order], block[order]
+        n, ids, root, block = n[order], ids[order], root[order], block[order]
         ends = np.searchsorted(n, np.floor(n / similarity + SLACK), "right")
         for i in range(len(n)):
             span = slice(i + 1, ends[i])
-            ok = (root[span] != root[i]) & passes(n[span], pos[span], int(n[i]), int(pos[i]), similarity)
+            ok = root[span] != root[i]
             if lo != hi:
                 ok &= block[span] != block[i]
             found = ids[span][ok]
@@ -181,7 +179,7 @@ def _crossed(similarity: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, lo, hi, *rest = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "lo", "hi", "n", "doc_id", "pos", "root", "block"))
+            key, lo, hi, *rest = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "lo", "hi", "n", "row", "root", "block"))
             new = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
             for s, e in zip([0, *new.tolist()], [*new.tolist(), len(key)]):
                 here = (int(key[s]), int(lo[s]), int(hi[s]))
@@ -194,80 +192,99 @@ def _crossed(similarity: float):
     return run
 
 
-def _near_pairs(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) that are near, by their whole texts."""
-    pairs = settle(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    some = settle(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "pair-texts")
-    second = pairs.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("second")), "b")
-    both = second.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("first")), "a")
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[int, set] = {}
-        room = KEPT
-
-        def read(doc_id: int, text: pa.StringScalar) -> set:
-            nonlocal room
-            if doc_id not in memo:
-                text = text.as_py()
-                room -= len(text)
-                if room < 0:
-                    memo.clear()
-                    room = KEPT - len(text)
-                memo[doc_id] = shingle_set(text, width)
-            return memo[doc_id]
 
-        for b in batches:
-            first, second, a, c = (b.column(x) for x in ("first", "second", "a", "b"))
-            a, c = a.to_pylist(), c.to_pylist()
-            keep = [near(read(x, first[i]), read(y, second[i]), similarity) for i, (x, y) in enumerate(zip(a, c))]
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep, pa.bool_())), b.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the settled pairs (a, b) whose sets (row, shingles) are near."""
+    both = pairs.join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("second")), "b").join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("first")), "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = []
+            for c in ("first", "second"):
+                lists = batch.column(c)
+                ends.append((lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()))
+            keep = np.zeros(batch.num_rows, bool)
+            (x, xs), (y, ys) = ends
+            for i in range(batch.num_rows):
+                a, b = x[xs[i] : xs[i + 1]], y[ys[i] : ys[i + 1]]
+                if min(len(a), len(b)) >= similarity * max(len(a), len(b)) - SLACK:
+                    shared = len(np.intersect1d(a, b, assume_unique=True))
+                    keep[i] = shared >= similarity * (len(a) + len(b) - shared) - SLACK
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
     return settle(both.mapInArrow(run, "a long, b long"), "near-pairs")
 
 
 def _open(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """The rows of buckets whose documents the known links don't connect, with root and the size of the bucket."""
-    rows = rows.join(components(known).select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    rows = settle(rows, "bucket-roots")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r"), F.max("root").alias("s"))
-    sizes = settle(sizes.filter("r <> s").select("key", "size"), "open-buckets")
-    return settle(lookup(rows, sizes, ["key"], "size", rows.count()).filter("size is not null"), "open-rows")
-
-
-def links(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, members: int = MEMBERS) -> DataFrame:
-    """Near pairs (a, b) of doc_ids that connect just what all near pairs connect."""
-    docs = texts(docs).filter("doc_id is not null")
-    parts = shuffle_partitions(docs.sparkSession)
-    dealt = prefixes(docs, width, similarity).repartition(parts, "key").sortWithinPartitions("key", "n", "doc_id")
-    found = settle(dealt.mapInArrow(_stars(similarity), "key long, doc_id long, n int, pos int, other long"), "prefix-buckets")
-    stars = _near_pairs(found.filter("other is not null").select(F.col("doc_id").alias("a"), F.col("other").alias("b")), docs, width, similarity)
-
-    rows, known = found.filter("other is null").drop("other"), stars
-    for turn in range(TURNS):
-        left = _open(rows, known)
-        after = Window.partitionBy("key").orderBy("n", F.xxhash64("doc_id", F.lit(turn)))
-        beside = left.select("doc_id", "root", "n", F.lag("doc_id").over(after).alias("a"), F.lag("root").over(after).alias("r"), F.lag("n").over(after).alias("m"))
-        beside = beside.filter((F.col("root") != F.col("r")) & (F.col("m") >= similarity * F.col("n") - SLACK))
-        more = _near_pairs(beside.select("a", F.col("doc_id").alias("b")), docs, width, similarity)
-        if more.isEmpty():
-            break
-        known = known.unionByName(more)
-    left = _open(rows, known)
-    left = left.withColumn("blocks", F.ceil(F.col("size") / members).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    """The rows of buckets whose rows the known links don't connect, with their roots."""
+    roots = components(known).select(F.col("node").alias("row"), "root")
+    rows = settle(rows.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "bucket-roots")
+    open_ = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key", "rows")
+    return settle(lookup(rows, open_, ["key"], "rows", rows.count()).filter("rows is not null").drop("rows"), "open-rows")
+
+
+def links(docs: DataFrame, heads_: DataFrame, width: int, similarity: float, members: int) -> DataFrame:
+    """Near pairs (a, b) of rows that connect just what all near pairs connect. docs: those of the heads, a settled table."""
+    first = settle(heads_.groupBy("digest").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "same-sets")
+    same = lookup(heads_.select("row", "digest"), first, ["digest"], "copies", heads_.count()).filter(F.col("first") != F.col("row"))
+    same = settle(same.select(F.col("first").alias("a"), F.col("row").alias("b")), "same-pairs")
+    alone = without(heads_, same.select(F.col("b").alias("row")), ["row"])
+
+    found = buckets(alone, similarity)
+    ids = settle(found.select("row").distinct(), "bucket-rows")
+    classes = simhash.classes(settle(alone.select(F.col("row").alias("doc_id"), "fp"), "fingerprints"))
+    near_fps = classes.filter("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    pairs = settle(_ordered(near_fps.unionByName(_beside(found, similarity, members))), "pairs")
+
+    names = keep_only(heads_.select("row", "doc_id", "h"), ids, ["row"])
+    sets = settle(_sets(docs, names, width), "sets")
+    known = verified(pairs, sets, similarity)
+    left = _open(found, known).withColumn("blocks", F.ceil(F.col("size") / members).cast("int"))
+    left = left.withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     left = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "n", "doc_id", "pos", "root", "block")
-    sorted_ = left.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    rest = sorted_.mapInArrow(_crossed(similarity), "a long, b long")
-    return known.unionByName(_near_pairs(rest, docs, width, similarity))
+    left = left.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "n", "row", "root", "block")
+    sorted_ = left.repartition(shuffle_partitions(docs.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    rest = _ordered(sorted_.mapInArrow(_crossed(similarity), "a long, b long"))
+    rest = settle(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    return same.unionByName(known).unionByName(verified(rest, sets, similarity))
+
+
+def _sets(docs: DataFrame, names: DataFrame, width: int) -> DataFrame:
+    """(row, shingles) of the rows named by (row, doc_id, h)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(t.as_py(), width) for t in b.column("text")]
+            ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))], ["row", "shingles"])
+
+    rows = texts(docs).withColumn("h", F.xxhash64("text"))
+    keys = names.groupBy("doc_id", "h").agg(F.min("row").alias("row"))
+    # rows that are one document have one set, so one of them goes on only
+    picked = keep_only(rows, keys, ["doc_id", "h"], "row").dropDuplicates(["row"]).select("row", "text")
+    return picked.mapInArrow(run, "row long, shingles array<long>")
+
+
+def _name(doc_id: str = "doc_id", h: str = "h") -> Column:
+    return F.struct(F.col(doc_id).isNull().alias("unnamed"), F.col(doc_id).alias("doc_id"), F.col(h).alias("h"))
 
 
 def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, members: int = MEMBERS) -> DataFrame:
-    """(doc_id, root) of every document in a group: the doc_id that stays."""
-    return components(links(docs, width, similarity, members)).select(F.col("node").alias("doc_id"), "root")
+    """(doc_id, h, root, root_h) of every document in a group of several: h is xxhash64 of its text; root and root_h tell the one that stays."""
+    docs = texts(docs)
+    heads_ = settle(heads(docs, width, similarity), "heads")
+    found = settle(components(links(docs, heads_, width, similarity, members)).select(F.col("node").alias("row"), "root"), "group-rows")
+    named = settle(keep_only(heads_.select("row", "doc_id", "h"), found, ["row"], "root"), "group-names")
+    least = named.groupBy("root").agg(F.min(_name()).alias("least"), F.count(F.lit(1)).alias("rows"))
+    out = lookup(named, least, ["root"], "rows", named.count())
+    return out.select("doc_id", "h", F.col("least.doc_id").alias("root"), F.col("least.h").alias("root_h")).distinct()
 
 
 def survivors(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that are in no group or stay for theirs, with all their columns."""
-    gone = groups(docs, **how).filter("doc_id <> root").select(F.col("doc_id").alias("__gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")
+    """The rows of docs that are in no group or stay for theirs, with all their columns. Rows that repeat doc_id and text stay or go together."""
+    gone = settle(groups(docs, **how).filter(~(F.col("doc_id").eqNullSafe(F.col("root")) & (F.col("h") == F.col("root_h")))).select(F.col("doc_id").alias("__gone_id"), F.col("h").alias("__gone_h")), "gone")
+    rows = docs.withColumn("__gone_id", F.col("doc_id").cast("long")).withColumn("__gone_h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return without(rows, gone, ["__gone_id", "__gone_h"]).drop("__gone_id", "__gone_h")

@@ -47,29 +47,33 @@ def shingles(text: str, width: int = WIDTH) -> list[bytes]:
     return [joined[s:e] for s, e in zip(starts, ends[width - 1 :])]
 
 
-def fingerprint(text: str, width: int = WIDTH, seed: int = SEED, distinct: bool = False) -> int:
-    """distinct: each different shingle counts once."""
-    parts = shingles(text, width)
-    if distinct:
-        parts = list(dict.fromkeys(parts))
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes (unsigned, 64 bits) have."""
     ones = np.zeros(BITS, np.int64)
-    for i in range(0, len(parts), BLOCK):
-        block = parts[i : i + BLOCK]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, block, repeat(seed)), np.uint64, len(block))
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(parts), bitorder="little").view(np.uint64)[0])
+    for i in range(0, len(hashes), BLOCK):
+        block = np.ascontiguousarray(hashes[i : i + BLOCK])
+        ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def shingle_hashes(text: str, width: int = WIDTH, seed: int = SEED) -> np.ndarray:
+    parts = shingles(text, width)
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), np.uint64, len(parts))
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH, seeds: tuple[int, ...] = (SEED,), distinct: bool = False) -> DataFrame:
-    """doc_id, fps: the fingerprints under each seed, as signed longs."""
+def fingerprint(text: str, width: int = WIDTH, seed: int = SEED) -> int:
+    return majority(shingle_hashes(text, width, seed))
+
+
+def fingerprints(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
+    """doc_id, fp: the fingerprint, as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([[fingerprint(t, width, s, distinct) for s in seeds] for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, len(seeds), np.int32), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["doc_id", "fps"])
+            found = np.array([fingerprint(t.as_py(), width, seed) for t in b.column("text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fps array<long>")
+    return texts(docs).mapInArrow(run, "doc_id long, fp long")
 
 
 def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -186,7 +190,8 @@ def spread(fps: DataFrame, masks_: Column) -> DataFrame:
 
 def near_links(fps: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     """Links (a, b) among different fingerprints (column fp) that connect just those within the radius, directly or over others."""
-    parts, most = shuffle_partitions(fps.sparkSession), max(most, 2**radius)
+    spark = fps.sparkSession
+    parts, most = shuffle_partitions(spark), max(most, 2**radius)
     rows = spread(fps, F.array(*[F.lit(signed(m)).cast("long") for m in masks(radius)]))
     links = None
     while True:
@@ -195,51 +200,32 @@ def near_links(fps: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFr
         here = found.filter("mask is null").select("a", "b")
         links = here if links is None else links.unionByName(here)
         large = found.filter("mask is not null").select(F.col("a").alias("fp"), "mask")
-        used = [r[0] for r in large.select("mask").distinct().collect()]  # masks: at most (radius + 1) times as many as before
+        used = [r[0] for r in large.select("mask").distinct().collect()]  # at most radius + 1 times as many masks as before, in a few rounds
         if not used:
             return links.distinct()
-        nexts = {m: [signed(x) for x in block_masks(m % (1 << 64), radius)] for m in used}
-        deal = F.create_map(*[x for m, n in nexts.items() for x in (F.lit(m).cast("long"), F.array(*[F.lit(y).cast("long") for y in n]))])
-        rows = large.select("fp", F.explode(F.element_at(deal, F.col("mask"))).alias("mask")).distinct()
-        rows = rows.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp")
-
+        nexts = [(m, [signed(x) for x in block_masks(m % (1 << 64), radius)]) for m in used]
+        deal = F.broadcast(spark.createDataFrame(nexts, "mask long, nexts array<long>"))
+        rows = spread(large.join(deal, "mask"), F.col("nexts")).distinct()
 
-def _links(own: DataFrame, seeds: int, radius: int, most: int) -> DataFrame:
-    """Links between nodes (i, fp): fingerprint fp under the i-th seed. Under further seeds a class also links its own fingerprints."""
-    node = lambda i, fp: F.struct(F.lit(i).alias("i"), F.col(fp).alias("fp"))
-    links = None
-    for i in range(seeds):
-        fps = own.groupBy(F.get("fps", F.lit(i)).alias("fp")).agg(F.count(F.lit(1)).alias("classes"))
-        near = settle(near_links(fps.select("fp"), radius, most), "near-pairs")
-        here = near.select(node(i, "a").alias("a"), node(i, "b").alias("b"))
-        if i:  # a fingerprint that two classes share, or that is near another
-            met = near.select(F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("fp"))).unionByName(fps.filter("classes > 1").select("fp")).distinct()
-            mine = own.select(F.get("fps", F.lit(0)).alias("first"), F.get("fps", F.lit(i)).alias("fp")).join(met, "fp", "left_semi").distinct()
-            here = here.unionByName(mine.select(node(i, "fp").alias("a"), node(0, "first").alias("b")))
-        links = here if links is None else links.unionByName(here)
-    return links
 
+def classes(rows: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
+    """rows (doc_id, fp), a settled table -> the same with component_id: the least doc_id reached over fingerprints within the radius.
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, most: int = MOST, seeds: tuple[int, ...] = (SEED,), distinct: bool = False) -> DataFrame:
-    """One row for each row of docs: doc_id, fingerprint (16 hex digits), component_id (the least doc_id it reaches).
-
-    Two rows link if their fingerprints under some seed are within the radius; `fingerprint` is that of the first.
-    Links are over fingerprints, each different one taken once, so copies cost nothing more. Null text counts as
-    empty. A null doc_id is never a component's id unless the component has no other.
+    Links are over fingerprints, each different one taken once, so copies cost nothing more.
     """
-    rows = settle(fingerprints(docs, width, seeds, distinct), "fingerprints")
-    own = settle(rows.groupBy("fps").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "different-fingerprints")
-    roots = components(_links(own, len(seeds), radius, most)).filter("node.i = 0").select(F.col("node.fp").alias("first"), "root")
-    first = F.get("fps", F.lit(0))
-    named = own.withColumn("first", first).join(roots, "first", "left")
-    named = named.select("fps", "least", "copies", F.coalesce("root", F.struct(F.lit(0).alias("i"), F.col("first").alias("fp"))).alias("root"))
-    named = settle(named, "fingerprint-roots")
+    own = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "different-fingerprints")
+    roots = components(near_links(own.select("fp"), radius, most)).select(F.col("node").alias("fp"), "root")
+    named = settle(own.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "fingerprint-roots")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    of_fps = lookup(named.select("fps", "copies", "root"), ids, ["root"], "members", named.count())
-    out = lookup(rows, of_fps.select("fps", "copies", "component_id"), ["fps"], "copies", rows.count())
-    return out.select("doc_id", F.lower(F.lpad(F.hex(first), 16, "0")).alias("fingerprint"), "component_id")
+    of_fps = lookup(named.select("fp", "copies", "root"), ids, ["root"], "members", named.count())
+    return lookup(rows, of_fps.select("fp", "copies", "component_id"), ["fp"], "copies", rows.count()).select("doc_id", "fp", "component_id")
 
 
-#: Fingerprints of the different words under four seeds, which are near for copies with few scattered edits. Copies with a block added or
-#: removed are mostly missed, so near_dedup doesn't search by them; the tests still compare with them.
-NEAR = {"width": 1, "seeds": (42, 43, 44, 45), "distinct": True}
+def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, most: int = MOST, seed: int = SEED) -> DataFrame:
+    """One row for each row of docs: doc_id, fingerprint (16 hex digits), component_id (the least doc_id it reaches).
+
+    Null text counts as empty. Rows that repeat a doc_id, with the same text or another, are rows each for itself. A null
+    doc_id is never a component's id unless the component has no other.
+    """
+    out = classes(settle(fingerprints(docs, width, seed), "fingerprints"), radius, most)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -217,7 +217,7 @@ def sample(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> list[tuple
     marks = marks.filter(~held_out(F.col("doc_id"), folds)).dropDuplicates(["doc_id"])
     there = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     most = {1: TOXIC, 0: ORDINARY}
-    some = [by_hash(marks.filter(F.col("toxic") == y), "doc_id", n, there.get(y, 0)) for y, n in most.items()]
+    some = [by_hash(marks.filter(F.col("toxic") == y), ["doc_id"], n, there.get(y, 0)) for y, n in most.items()]
     chosen = some[0].unionByName(some[1]).withColumn("h", F.xxhash64("doc_id"))  # few more than TOXIC + ORDINARY
     rows = texts(docs).join(F.broadcast(chosen), "doc_id").filter(F.length("text") <= LONGEST).select("text", "toxic", "h").collect()
     out = []

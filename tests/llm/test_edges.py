@@ -39,7 +39,6 @@ OPERATORS = {
     "langid": lambda d, x: langid.identify(d),
     "exact": lambda d, x: exact_dedup.exact_dedup(d),
     "simhash": lambda d, x: simhash.near_duplicates(d),
-    "simhash_several": lambda d, x: simhash.near_duplicates(d, **simhash.NEAR),
     "fingerprints": lambda d, x: fingerprints.edited_likeness(d),
     "sketches": lambda d, x: fingerprints.fingerprints(d),
     "token_files": lambda d, x: token_files.write_and_read(d),

@@ -1,5 +1,6 @@
 """The pipeline against a brute-force version of it."""
 
+import itertools
 import os
 import random
 import sys
@@ -9,9 +10,8 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 import corpus_pipeline  # noqa: E402
-from facetwise.llm import near_dedup, pii, simhash, toxicity  # noqa: E402
+from facetwise.llm import near_dedup, pii, toxicity  # noqa: E402
 from facetwise.llm.common import forget, lookup, settle, shared_dir, table  # noqa: E402
-from test_dedup import brute_components, brute_fingerprint  # noqa: E402
 from test_tokens import check_packed  # noqa: E402
 
 
@@ -52,7 +52,8 @@ def alike(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-def brute_groups(texts, candidates):
+def brute_near_groups(texts):
+    """The least id of what near pairs connect, by all pairs."""
     root = {i: i for i in texts}
 
     def find(x):
@@ -60,11 +61,10 @@ def brute_groups(texts, candidates):
             x = root[x]
         return x
 
-    for i in sorted(texts):
-        for j in sorted(texts):
-            if i < j and candidates[i] == candidates[j] and alike(texts[i], texts[j]) >= 0.8:
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
+    for i, j in itertools.combinations(sorted(texts), 2):
+        if alike(texts[i], texts[j]) >= 0.8:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
     return {i: find(i) for i in texts}
 
 
@@ -75,56 +75,66 @@ def edited(rng, words, n):
     return " ".join(words)
 
 
+def say(rng, n):
+    return [f"{rng.choice('bcdfgl')}{rng.choice('aeiou')}{rng.randrange(500)}" for _ in range(n)]
+
+
+def roots(spark, docs, **how):
+    got = {r["doc_id"]: r["root"] for r in near_dedup.groups(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), **how).collect()}
+    return {i: got.get(i, i) for i in docs}
+
+
 @pytest.fixture(scope="module")
 def copies():
     """Two texts with many edited copies, a few with one or two, and texts with none."""
     rng, out = random.Random(6), []
     for many in (70, 40, 2, 1, 1, 0, 0, 0):
-        words = [f"{rng.choice('bcdfgl')}{rng.choice('aeiou')}{rng.randrange(500)}" for _ in range(rng.choice([220, 400]))]
-        out += [" ".join(words)] + [edited(rng, words, rng.choice([1, 2, 3])) for _ in range(many)]
+        words = say(rng, rng.choice([220, 400]))
+        out += [" ".join(words)] + [edited(rng, words, rng.choice([1, 2, 3, 6])) for _ in range(many)]
     return dict(enumerate(out))
 
 
-def test_groups_that_fit_are_exact(spark, copies):
-    keys = {i: [brute_fingerprint(t, 1, s, True) for s in simhash.NEAR["seeds"]] for i, t in copies.items()}
-    want = brute_groups(copies, brute_components(keys, simhash.RADIUS))
-    got = {r["doc_id"]: r["root"] for r in near_dedup.groups(spark.createDataFrame(list(copies.items()), "doc_id long, text string")).collect()}
-    assert {i: got.get(i, i) for i in copies} == want
-
-
-def test_large_groups_go_around_their_centre(spark, copies):
-    docs = spark.createDataFrame(list(copies.items()), "doc_id long, text string")
-    rows = near_dedup.groups(docs, members=8).collect()
-    assert len({r["doc_id"] for r in rows}) == len(rows)
-    for r in rows:
-        assert r["doc_id"] == r["root"] or alike(copies[r["doc_id"]], copies[r["root"]]) >= 0.8 or len([x for x in rows if x["root"] == r["root"]]) <= 8
-    stay = {r["doc_id"] for r in near_dedup.survivors(docs, members=8).collect()}
-    assert 0 in stay and 71 in stay and not stay & set(range(1, 71)) and not stay & set(range(72, 112))
-
-
-def brute_near_groups(texts):
-    return brute_groups(texts, dict.fromkeys(texts, 0))
+@pytest.mark.parametrize("members", [8, near_dedup.MEMBERS])
+def test_groups_of_every_size(spark, copies, members):
+    """Also where a group's buckets are dealt to several blocks."""
+    assert roots(spark, copies, members=members) == brute_near_groups(copies)
 
 
 def test_blocks_added_and_removed_are_found(spark):
-    """All pairs by brute force: texts with blocks appended, put first or cut off on either side, up to and over the limit, and a passage that all have."""
+    """Texts with blocks appended, put first or cut off on either side, up to and over the limit, and a passage that all have."""
     rng, out = random.Random(8), []
-    say = lambda n: [f"{rng.choice('bcdfgl')}{rng.choice('aeiou')}{rng.randrange(500)}" for _ in range(n)]
-    shared = say(12)
+    shared = say(rng, 12)
     for _ in range(40):
-        words = shared + say(rng.choice([90, 260]))
+        words = shared + say(rng, rng.choice([90, 260]))
         n = len(words)
         out.append(words)
         for share in (0.12, 0.17, 0.22, 0.26):
             k = int(n * share)
-            out.append(rng.choice([words + say(k), say(k) + words, words[: n - k], words[k:]]))
+            out.append(rng.choice([words + say(rng, k), say(rng, k) + words, words[: n - k], words[k:]]))
     out += [[], [" "], ["one"], ["one"], shared, shared[1:]]
     docs = dict(enumerate(" ".join(x) for x in out))
     want = brute_near_groups(docs)
-    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    got = {r["doc_id"]: r["root"] for r in near_dedup.groups(frame).collect()}
     assert sum(i != r for i, r in want.items()) > 80
-    assert {i: got.get(i, i) for i in docs} == want
+    assert roots(spark, docs) == want
+
+
+def test_texts_of_shared_passages(spark):
+    """Texts put together from the same few passages: every shingle is common, few pairs are near."""
+    rng = random.Random(10)
+    passages = [say(rng, 30) for _ in range(12)]
+    docs = {i: " ".join(w for p in rng.sample(passages, rng.choice([1, 4, 6])) for w in p) for i in range(150)}
+    docs |= {1000 + i: docs[i] + " " + " ".join(say(rng, 20)) for i in range(0, 150, 5)}
+    want = brute_near_groups(docs)
+    assert 10 < sum(i != r for i, r in want.items()) < 150
+    assert roots(spark, docs, members=16) == want
+
+
+def test_short_texts_and_hot_shingles(spark, monkeypatch):
+    """Few words each, most with the same beginning; keys that are common are dealt to several tasks."""
+    monkeypatch.setattr(near_dedup, "HOT_LEAST", 20)
+    rng = random.Random(12)
+    docs = {i: " ".join(["a", "b", "c", "d", "e", *(rng.choice("xyz") for _ in range(rng.randrange(0, 9)))]) for i in range(300)}
+    assert roots(spark, docs) == brute_near_groups(docs)
 
 
 def test_a_chain_is_one_group_at_every_size(spark):
@@ -137,9 +147,19 @@ def test_a_chain_is_one_group_at_every_size(spark):
         words[rng.randrange(200)] = f"new{rng.randrange(10**6)}"
     docs = dict(zip(rng.sample(range(1000), 60), chain))
     assert alike(chain[0], chain[-1]) < 0.1 and set(brute_near_groups(docs).values()) == {min(docs)}
-    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     for members in (8, near_dedup.MEMBERS):
-        assert {r["doc_id"]: r["root"] for r in near_dedup.groups(frame, members=members).collect()} == dict.fromkeys(docs, min(docs))
+        assert roots(spark, docs, members=members) == dict.fromkeys(docs, min(docs))
+
+
+def test_rows_without_or_with_repeated_ids(spark):
+    """A doc_id with two texts is two documents; rows without doc_id go where another is near."""
+    rng = random.Random(13)
+    one, two, three = (say(rng, 120) for _ in range(3))
+    j = " ".join
+    rows = [(1, j(one), "a"), (1, j(two), "b"), (2, edited(rng, one, 1), "c"), (None, edited(rng, one, 1), "d"), (None, j(three), "e"), (None, edited(rng, three, 1), "f"), (0, edited(rng, two, 1), "g"), (5, None, "h"), (4, " ", "i"), (1, j(one), "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h string")
+    stay = sorted(r["h"] for r in near_dedup.survivors(docs).collect())
+    assert len([x for x in stay if x in "ef"]) == 1 and [x for x in stay if x not in "ef"] == ["a", "g", "i", "k"]
 
 
 def test_pipeline(spark, sf_dir):
@@ -151,11 +171,9 @@ def test_pipeline(spark, sf_dir):
     for i in sorted(left):
         last[left[i]] = i
     left = {i: t for t, i in last.items()}
-    keys = {i: [brute_fingerprint(t, 1, s, True) for s in simhash.NEAR["seeds"]] for i, t in left.items()}
-    candidates = brute_components(keys, simhash.RADIUS)
-    roots = brute_groups(left, candidates)
-    left = {i: t for i, t in left.items() if roots[i] == i}
-    assert len(left) < len(keys)
+    stays, before = brute_near_groups(left), len(left)
+    left = {i: t for i, t in left.items() if stays[i] == i}
+    assert len(left) < before
     want = [(i, pii.replaced(t)[0]) for i, t in left.items()]
     assert any(t != left[i] for i, t in want)
 
