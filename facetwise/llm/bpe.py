@@ -8,7 +8,7 @@ merges stay inside a match; so the tokens outside the window are those of the jo
 place, its whole side goes into the window, so texts without spaces come out right too. Decoding joins
 the bytes of the halves up the same tree.
 
-Null text counts as empty: no ids, no bytes.
+Null text counts as empty: no ids, no bytes. Rows are independent of each other, repeated ones too.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .tokens import RankEncoder, by_ranks
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters of a leaf, and of the first window on each side of a seam.
-LEAF, WINDOW = 1 << 14, 64
+LEAF, WINDOW = 512, 64
 
 _safe = re.compile(r"(?<=\S) (?=\S)")
 

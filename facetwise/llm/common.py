@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -25,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own if all runs in one process; else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: the operators need a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="facetwise-")
@@ -53,9 +56,9 @@ def forget(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone (null text: empty), so that other columns can have any name."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def texts(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id and text (null text: empty) with the columns named, so that all others can have any name."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *others)
 
 
 def held_out(doc_id: Column, folds: int) -> Column:
@@ -119,20 +122,15 @@ def hold(owner: str, drop: Callable[[], None]) -> None:
     _holder[:] = [(owner, drop)]
 
 
-def by_hash(rows: DataFrame, keys: list[str], want: int, total: int) -> DataFrame:
-    """Of `total` rows about `want` and a few more: those whose keys have the least hashes, by a threshold.
+def by_hash(rows: DataFrame, keys: list[str], want: int) -> DataFrame:
+    """About `want` different keys and a few more, those with the least hashes, by a threshold: for rows, all that have such keys.
 
-    A sort with a limit would send as many rows from every task to the driver. Rows that are alike in all keys come together
-    or not at all; collected() bounds what reaches the driver.
+    A sort with a limit would send as many rows from every task to the driver.
     """
-    span = 1 << 40
-    most = span if total <= want else min(span, int(span * (1.2 * want + 40) / total))
-    return rows.filter(F.pmod(F.xxhash64(*keys), F.lit(span)) < F.lit(most))
-
-
-def collected(rows: DataFrame, order: list[str], most: int) -> list:
-    """The first `most` rows by order: each task gives so many at most before they meet."""
-    return rows.orderBy(*order).limit(most).collect()
+    h, span = F.xxhash64(*keys), 1 << 40
+    there = rows.agg(F.approx_count_distinct(h, 0.02)).first()[0]
+    most = span if there <= want else int(span * (1.2 * want + 40) / there)
+    return rows.filter(F.pmod(h, F.lit(span)) < F.lit(most))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

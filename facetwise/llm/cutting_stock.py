@@ -21,7 +21,6 @@ GAP, FAIR, SOME_COLUMNS, MOST_COLUMNS = 5e-4, 1e-2, 2500, 10_000
 CUT = 2e-3
 #: Every length gets this part of the mean number of pieces more, unevenly, so that steps of the simplex method move.
 MORE = 1e-3
-FEW = 100
 
 
 def price(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -132,8 +131,7 @@ def solve(histogram: dict[int, int], capacity: int, step: int, slack: int = 2) -
     for c, n in histogram.items():
         left[c - 1] = n
     cuts, bins = Counter(), []
-    # of fewer pieces nothing would be left after rounding down
-    columns, cost, used = relax(left.astype(float), capacity, step) if left.sum() >= FEW else (np.eye(capacity), np.ones(capacity), np.zeros(capacity))
+    columns, cost, used = relax(left.astype(float), capacity, step)
     made = [(int(np.flatnonzero(columns[:, j] > 0)[0]) + 1, j) for j in range(capacity) if cost[j] < 1 and used[j] >= 1]
     for c, j in sorted(made, reverse=True):
         if (n := min(int(used[j] + 1e-6), int(left[c - 1]))) > 0:

@@ -11,7 +11,7 @@ import struct
 
 import numpy as np
 
-SAMPLE = 512
+SAMPLE = 64
 _HEAD = struct.Struct("<QQB")  # n, words of high bits in bytes, l
 
 
@@ -37,17 +37,17 @@ def build(values: np.ndarray) -> bytes:
 
 class EliasFano:
     def __init__(self, data: bytes | memoryview):
-        data = memoryview(data)
+        data = memoryview(data).cast("B")
         self.n, length, self.low = _HEAD.unpack_from(data)
         at = _HEAD.size
         kind = np.dtype("<u4" if 8 * length < 2**32 else "<u8")
         samples = -(-self.n // SAMPLE)
         self.samples = np.frombuffer(data, kind, samples, at)
         at += samples * kind.itemsize
-        self.high = np.frombuffer(data, np.uint8, length, at)
+        self.high = data[at : at + length]
         at += length
-        self.lows = np.frombuffer(data, np.uint8, -(-self.n * self.low // 8), at)
-        self.size = at + len(self.lows)
+        self.size = at + -(-self.n * self.low // 8)
+        self.lows = data[at : self.size]
 
     def __len__(self) -> int:
         return self.n
@@ -59,25 +59,23 @@ class EliasFano:
         place = int(self.samples[i // SAMPLE])
         left = i % SAMPLE  # set bits still to pass
         byte = place // 8
-        word = int(self.high[byte]) >> (place % 8)
+        word = self.high[byte] >> (place % 8)
         base = place
         while (c := word.bit_count()) <= left:
             left -= c
             byte += 1
             base = 8 * byte
-            word = int(self.high[byte])
+            word = self.high[byte]
         for _ in range(left):
             word &= word - 1
         high = base + ((word & -word).bit_length() - 1) - i
-        low = 0
-        for j in range(self.low):
-            bit = i * self.low + j
-            low |= (int(self.lows[bit >> 3]) >> (bit & 7) & 1) << j
-        return high << self.low | low
+        bit = i * self.low
+        lows = int.from_bytes(self.lows[bit >> 3 : (bit + self.low + 7) >> 3], "little") >> (bit & 7)
+        return high << self.low | lows & ((1 << self.low) - 1)
 
     def all(self) -> np.ndarray:
         """Every number, unsigned 64-bit."""
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
-        bits = np.unpackbits(self.lows, bitorder="little", count=self.n * self.low).reshape(self.n, self.low).astype(np.uint64)
+        high = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n] - np.arange(self.n)
+        bits = np.unpackbits(np.frombuffer(self.lows, np.uint8), bitorder="little", count=self.n * self.low).reshape(self.n, self.low).astype(np.uint64)
         low = (bits << np.arange(self.low, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) if self.low else np.zeros(self.n, np.uint64)
         return high.astype(np.uint64) << np.uint64(self.low) | low

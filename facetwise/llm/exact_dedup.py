@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, settle, texts
+from .common import lookup, settle, texts, without
 
 MIN_CHARS, MAX_CHARS = 256, 2048
 
@@ -79,9 +79,11 @@ def exact_dedup(docs: DataFrame, bits: int = 64) -> DataFrame:
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
-    stay = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__kept_id"]), "left_semi")
+    """The rows of docs that exact_dedup keeps, with all their columns. A doc_id with several texts is judged for each of them."""
+    sha = lambda c: F.unhex(c).alias("__sha")
+    gone = exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias("__gone_id"), sha("text_sha256")).distinct()
+    rows = docs.withColumn("__gone_id", F.col("doc_id").cast("long")).withColumn("__sha", sha(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)))
+    return without(rows, settle(gone, "gone"), ["__gone_id", "__sha"]).drop("__gone_id", "__sha")
 
 
 ORACLE = """

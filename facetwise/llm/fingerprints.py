@@ -7,7 +7,7 @@ and the number of different shingles; they are exact while neither sketch is ful
 
 Words are `[^\x20\x09-\x0D]+`, shingles are SHINGLE words; a shorter text that has words is one shingle. Null text
 counts as empty; a text without words has the empty sketch. Two empty sketches are alike (1), an empty and
-another are not (0).
+another are not (0). Rows that repeat a doc_id are rows each for itself; equal texts have equal fingerprints.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, texts
 
 SHINGLE, K = 5, 128
+#: Ranges that are counted, for each one that is dealt out.
+FINER = 4
 
 
 def let(value: Column, body) -> Column:
@@ -84,38 +86,44 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     return rows.withColumn("shingles_est", distinct_shingles(F.col("sketch"), k))
 
 
-def ranges(rows: DataFrame, parts: int) -> list[int]:
-    """At most parts - 1 ids that cut the rows into ranges of similar size."""
-    if parts < 2:
-        return []
-    found = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0]
-    return sorted(set(found or []))
+def ranges(rows: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """Places (id, h) that cut the rows into up to FINER * parts ranges of similar numbers. An id with many rows is cut by h, which is spread evenly."""
+    n = FINER * parts
+    found = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
+    out = []
+    for x in sorted(set(found)):
+        k = found.count(x)
+        out += [(x, -(2**63) + j * 2**64 // k) for j in range(k)]
+    return out
 
 
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """doc_id, text and next_text: that of the next row by descending doc_id, after the last of the first.
+    """doc_id, text, and what tells their order; a row's next is that by descending doc_id, the last one's next is the first.
 
-    Rows go by ranges of doc_id, each with one more row that the range below begins with, so that text moves once
-    and no task sees more than its range. Rows with equal doc_id follow each other by the hash of their text;
-    rows without doc_id come last.
+    Rows go by ranges of (doc_id, hash of the text) that have about as many characters each, every range with one more row that the
+    range below begins with, so that text moves once and no task sees more than its range. Rows with equal doc_id
+    follow each other by the hash of their text; rows without doc_id come last. Only copies of one row are never parted.
     """
-    rows = texts(docs)
-    parts = parts or shuffle_partitions(docs.sparkSession)
-    cuts = ranges(rows, parts)
-    place = F.coalesce("doc_id", F.lit(-(2**63)))
-    below = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c <= place))
-    rows = rows.select("doc_id", "text", below.alias("range"), F.struct(place.alias("id"), F.xxhash64("text").alias("h")).alias("key"))
-    heads = rows.groupBy("range").agg(F.max("key").alias("key")).orderBy(F.desc("range")).collect()  # as many rows as ranges
-    spark = docs.sparkSession
-    guests = [(r["range"], r["key"]["id"], r["key"]["h"], heads[i - 1]["range"]) for i, r in enumerate(heads)]
-    pairs = [F.struct(F.lit(r).alias("range"), F.lit(i).cast("bigint").alias("id"), F.lit(h).cast("bigint").alias("h"), F.lit(to).alias("to")) for r, i, h, to in guests]
-    none = F.struct(F.lit(-1).alias("range"), F.lit(0).cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("h"), F.lit(-1).alias("to"))
-    guest = spark.range(1).select(F.inline(F.array(*(pairs or [none]))))
-    rows = rows.select("doc_id", "text", "range", F.col("key.id").alias("id"), F.col("key.h").alias("h"))
-    also = rows.join(F.broadcast(guest), ["range", "id", "h"], "left")
-    homes = F.when(F.col("to").isNull(), F.array(F.struct(F.col("range").alias("at"), F.lit(0).alias("guest")))).otherwise(F.array(F.struct(F.col("range").alias("at"), F.lit(0).alias("guest")), F.struct(F.col("to").alias("at"), F.lit(1).alias("guest"))))
-    also = also.select("doc_id", "text", "id", "h", F.explode(homes).alias("home")).select("doc_id", "text", "id", "h", "home.at", "home.guest")
-    return also.repartition(parts, "at")
+    spark, parts = docs.sparkSession, parts or shuffle_partitions(docs.sparkSession)
+    rows = texts(docs).withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("h", F.xxhash64("text"))
+    cuts, key = ranges(rows, parts), F.struct("id", "h")
+    places = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(h).alias("h")) for i, h in cuts]).cast("array<struct<id:bigint,h:bigint>>")
+    below = F.size(F.filter(places, lambda c: c <= key))
+    fine = rows.groupBy(below.alias("fine")).agg(F.max(key).alias("key"), F.sum(F.length("text") + 1).alias("size")).orderBy("fine").collect()  # as many rows as ranges
+    total, before, homes, heads = sum(r["size"] for r in fine), 0, {}, {}
+    for r in fine:
+        homes[r["fine"]] = at = min(parts - 1, before * parts // total)
+        heads[at] = r["key"]  # the greatest of the range comes last
+        before += r["size"]
+    order = sorted(heads, reverse=True)
+    guests = [(heads[r]["id"], heads[r]["h"], order[i - 1]) for i, r in enumerate(order)]
+    ranged = F.broadcast(spark.createDataFrame(list(homes.items()), "fine int, at int"))
+    guest = F.broadcast(spark.createDataFrame(guests, "id long, h long, to int"))
+    also = rows.withColumn("fine", below).join(ranged, "fine").join(guest, ["id", "h"], "left")
+    own = F.array(F.struct(F.col("at"), F.lit(0).alias("guest")))
+    homes_ = F.when(F.col("to").isNull(), own).otherwise(F.concat(own, F.array(F.struct(F.col("to").alias("at"), F.lit(1).alias("guest")))))
+    also = also.select("doc_id", "text", "id", "h", F.explode(homes_).alias("home")).select("doc_id", "text", "id", "h", "home.at", "home.guest")
+    return also.repartitionById(parts, "at")
 
 
 def edited_likeness(docs: DataFrame, k: int = K, parts: int | None = None) -> DataFrame:

@@ -5,9 +5,11 @@ table of its place in the frame; the states of both directions label every one o
 each language. A document's probabilities are the means of its bytes' over the whole text; the language is that with
 the greatest mean logarithm, the score its mean probability.
 
-Trained in numpy by backpropagation through the steps of a window, on windows from at most SAMPLE documents of each
-language whose doc_id isn't held out (the least by hash); a bounded sample, of at most MOST_LANGUAGES languages.
-Null text, and text without a letter, is `und` with score 0; so is every text if there is nothing to learn from.
+Trained in numpy by backpropagation through the steps of a window, on up to WINDOWS_OF_TEXT windows of each of at most SAMPLE
+documents of every language whose doc_id isn't held out (the least by hash): the bound of the sample. A window's states begin
+at zero, so a label depends on its window. A lang column of over MOST_LANGUAGES values is an error. Of several texts under
+one doc_id and language that with the least hash is learned from. Equal texts have equal labels. Null text, and text
+without a letter, is `und` with score 0; so is every text if there is nothing to learn from.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import held_out, texts
 from .gru import Adam, backward, forward, step
 
-FOLDS, SAMPLE, MOST_LANGUAGES, UNDETERMINED = 5, 500, 200, "und"
+FOLDS, SAMPLE, MOST_LANGUAGES, UNDETERMINED = 5, 500, 10_000, "und"
 SIZE, FRAME, WINDOW = 16, 4, 128
 UPDATES, BATCH, RATE, WINDOWS_OF_TEXT = 260, 192, 0.012, 24
 #: Windows that go through the network together.
@@ -161,24 +163,23 @@ def label(model: Model, many: list[str | None]) -> tuple[list[str], list[float]]
 
 
 def sample(docs: DataFrame, folds: int = FOLDS) -> list[tuple[str, str]]:
-    """(text, language) of at most SAMPLE documents of each language, none held out."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"))
+    """(text, language) of at most SAMPLE documents of each language, none held out. Each doc_id counts once for a language."""
+    rows = texts(docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")), "lang")
     rows = rows.filter("doc_id is not null and lang is not null").filter(~held_out(F.col("doc_id"), folds))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"lang has over {MOST_LANGUAGES} values; a network with so many outputs isn't trained")
     if not counts:
         return []
     # so many by the share of hashes that a few more than SAMPLE come, whatever the language's size
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.3 * SAMPLE / r["n"] + 20 / r["n"])))])
-    some = rows.filter(F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 <= F.coalesce(share[F.col("lang")], F.lit(-1.0))).collect()
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.3 * SAMPLE / r["n"] + 20 / r["n"])) for r in counts], "lang string, share double")
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003))
+    some = rows.join(F.broadcast(shares), "lang").filter(h / 1_000_003.0 <= F.col("share"))
+    some = some.groupBy("lang", "doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
     by_lang: dict[str, list] = {}
-    for r in sorted(some, key=lambda r: (r["h"] % 1_000_003, r["doc_id"])):
-        by_lang.setdefault(r["lang"], []).append(r["doc_id"])
-    chosen = [(i, lang) for lang, ids in by_lang.items() for i in ids[:SAMPLE]]
-    if not chosen:
-        return []
-    spark = docs.sparkSession
-    found = texts(docs).join(F.broadcast(spark.createDataFrame(chosen, "doc_id long, chosen_lang string")), "doc_id").collect()
-    return [(r["text"], r["chosen_lang"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"]))]
+    for r in sorted(some.select("lang", "doc_id", F.col("least.text").alias("text"), h.alias("h")).collect(), key=lambda r: (r["h"], r["doc_id"])):
+        by_lang.setdefault(r["lang"], []).append((r["doc_id"], r["text"]))
+    return [(text, lang) for lang in sorted(by_lang) for _, text in sorted(by_lang[lang][:SAMPLE])]
 
 
 def identify(docs: DataFrame, folds: int = FOLDS) -> DataFrame:

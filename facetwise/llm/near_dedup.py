@@ -87,7 +87,7 @@ def heads(docs: DataFrame, width: int, similarity: float) -> DataFrame:
 def dealt(rows: DataFrame, heads_: DataFrame) -> DataFrame:
     """rows (key, row, n) with salt: 0, but for the commonest keys one of several, so that no task gets all of such a key."""
     docs = heads_.count()
-    shown = by_hash(heads_, ["row"], SHOWN, docs).select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("shown"))
+    shown = by_hash(heads_, ["row"], SHOWN).select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("shown"))
     total = heads_.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
     usual = max(HOT_LEAST, total // (HOT * shuffle_partitions(rows.sparkSession)))
     scale = max(1.0, docs / SHOWN)

@@ -34,9 +34,12 @@ BUCKET = 5_000
 
 
 def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, doc_tokens, crcs: the checksum of each stretch of capacity ids and of the rest; blocks: those of the rest's blocks."""
+    """row (a number for each row), doc_id, doc_tokens, crcs: the checksum of each stretch of capacity ids and of the rest; blocks: those of the rest's blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
         encoder, tail, long, short = library(tokenizer, False), np.array([end], "<u4").tobytes(), 4 * capacity, 4 * GRAIN * STEP
         for b in batches:
             n, crcs, blocks = [], [], []
@@ -45,9 +48,11 @@ def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capac
                 n.append(len(view) // 4)
                 crcs.append([zlib.crc32(view[i : i + long]) for i in range(0, len(view), long)])
                 blocks.append(struct.pack(f"<{-(-(len(view) % long) // short)}I", *[zlib.crc32(view[i : i + short]) for i in range(len(view) // long * long, len(view), short)]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(blocks, pa.binary())], ["doc_id", "doc_tokens", "crcs", "blocks"])
+            rows = pa.array(np.arange(row, row + len(n)))
+            row += len(n)
+            yield pa.RecordBatch.from_arrays([rows, b.column("doc_id"), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(blocks, pa.binary())], ["row", "doc_id", "doc_tokens", "crcs", "blocks"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>, blocks binary")
+    return texts(docs).mapInArrow(run, "row long, doc_id long, doc_tokens long, crcs array<long>, blocks binary")
 
 
 def joined_crc(blocks: bytes, first: int, length: int) -> int:
@@ -62,10 +67,10 @@ def joined_crc(blocks: bytes, first: int, length: int) -> int:
 def ranked(pieces: DataFrame, total: int) -> DataFrame:
     """pieces with rank: 0, 1, ... within each class, without a task that sees a whole class."""
     buckets = max(1, -(-total // BUCKET))
-    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
+    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("row", "start"), F.lit(buckets)))
     before = Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("class", "bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy("class", "bucket").orderBy("doc_id", "start", "ids_crc32")
+    inside = Window.partitionBy("class", "bucket").orderBy("row", "start")
     rows = rows.withColumn("nth", F.row_number().over(inside)).join(base, ["class", "bucket"])
     return rows.withColumn("rank", F.col("base") + F.col("nth") - 1).drop("bucket", "base", "nth")
 
@@ -133,7 +138,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capacity:
     if capacity % (GRAIN * STEP):
         raise ValueError(f"capacity is a multiple of {GRAIN * STEP}")
     done = settle(tokenized(docs, tokenizer, end, capacity), "tokenized")
-    rows = done.select("doc_id", "doc_tokens", "blocks", F.posexplode("crcs").alias("pos", "ids_crc32"))
+    rows = done.select("row", "doc_id", "doc_tokens", "blocks", F.posexplode("crcs").alias("pos", "ids_crc32"))
     rows = rows.withColumn("start", F.col("pos").cast("long") * capacity)
     rows = rows.withColumn("length", F.least(F.lit(capacity).cast("long"), F.col("doc_tokens") - F.col("start")))
     full = F.col("length") == capacity

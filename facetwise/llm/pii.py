@@ -1,34 +1,42 @@
 r"""Personal data replaced by surrogates: keyed, of the same type and format, one for each original.
 
-Detected: e-mail addresses, telephone, payment-card, IP, MAC, IBAN and social-security numbers, cloud keys, tokens
-and passwords that a text assigns, and names behind a form of address. Each gets a surrogate of its own kind: the
-same separators, lengths, kinds of characters, case and script; a card of the same network whose check digit is right or
-wrong as before; an address of the same network class; an IBAN that checks; for a listed first name one of the same
-gender and script; for other names letters of the same kind, vowels for vowels.
-
-A surrogate is the original enciphered: the characters that may change are a number in mixed radix, which a keyed
-Feistel network permutes, walking on until the result is of the form asked for. A permutation gives the same original
-the same surrogate in every document (coreference; numbers and addresses are compared without their
-punctuation and case) and different originals different ones, without a table that grows with the corpus. collisions()
-checks it over all entities of a corpus all the same, and surrogates() does so before it returns anything.
-
-Null text stays null, empty text stays empty, and both have no entities. Rows are independent of each other.
+Detected: e-mail addresses, telephone, payment-card, IP (both versions), MAC, IBAN and social-security numbers, cloud keys,
+tokens and passwords that a text assigns, and names behind a form of address; a name without one is not. Each gets a
+surrogate of its own kind: the same separators, lengths, kinds of characters, case and script; a card of the same network whose
+check digit is right or wrong as before; an address of the same network class; an IBAN that checks; for a listed first name
+one of the same gender and script; for other names letters of the same kind, vowels for vowels, and in scripts without a list
+of kinds letters of the same Unicode block and case.
+
+A surrogate is the original enciphered: the characters that may change are a number in mixed radix. A keyed Feistel
+network puts all numbers in an order, and the surrogate is the next one in it that is of the form asked for. That is a
+permutation without a fixed point, so an original has the same surrogate in every document (coreference; numbers and addresses
+are compared without their punctuation and case), never itself, and different originals have different ones, without a
+table that grows with the corpus. collisions() checks it over all entities of a corpus all the same, and surrogates() does so
+before it returns anything.
+
+The key is spark.facetwise.pii.key of the session's settings. Without it a random one is drawn for the application, which nobody
+can undo later; to have the same surrogates in two applications, set it.
+
+Null text stays null, empty text stays empty, and both have no entities. Rows are independent of each other, repeated ones too.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import ipaddress
 import re
+import secrets
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle
 
-KEY = b"facetwise surrogates 1"
+KEY_SETTING = "spark.facetwise.pii.key"
 ROUNDS = 6
 
 # First names by gender and script, forms of address by gender.
@@ -49,33 +57,74 @@ LISTED = {n.lower(): (names, i) for names in FIRST_NAMES for i, n in enumerate(n
 _KINDS = {c: k for k in ("0123456789", VOWELS, CONSONANTS, LONG_VOWELS, OTHER_LATIN, CYRILLIC_VOWELS, CYRILLIC_CONSONANTS, GREEK) for c in k}
 _LETTERS = {**{c: "0123456789" for c in "0123456789"}, **{c: VOWELS + CONSONANTS for c in VOWELS + CONSONANTS}}
 _HEX = {c: "0123456789abcdef" for c in "0123456789abcdef"}
+#: Blocks of letters that are wider than BLOCK code points: ideographs and Hangul syllables.
+WIDE, BLOCK = ((0x4E00, 0x9FFF), (0xAC00, 0xD7A3)), 128
+
+_own_keys: dict[str, bytes] = {}
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The key from the session's settings, or a random one of this application."""
+    found = spark.conf.get(KEY_SETTING, None) or spark.sparkContext.getConf().get(KEY_SETTING)
+    return found.encode() if found else _own_keys.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
+@functools.lru_cache(4096)
+def letters_like(c: str) -> str:
+    """The letters that may stand for a letter of a name: those of its fixed kind, or of its block, category and case."""
+    if c in _KINDS or not c.isalpha():
+        return _KINDS.get(c, "")
+    first, last = next((b for b in WIDE if b[0] <= ord(c) <= b[1]), (ord(c) // BLOCK * BLOCK, ord(c) // BLOCK * BLOCK + BLOCK - 1))
+    kind = unicodedata.category(c)
+    alone = lambda x: len(x.upper()) == 1 and x.upper().lower() == x  # noqa: E731  it has a capital of its own
+    return "".join(x for x in map(chr, range(first, last + 1)) if unicodedata.category(x) == kind and x not in _KINDS and (alone(x) == alone(c)))
+
+
+class _NameKinds:
+    get = staticmethod(letters_like)
+
+
+@functools.lru_cache(4096)
+def _places(alphabet: str) -> dict[str, int]:
+    return {c: i for i, c in enumerate(alphabet)}
 
 
 def permute(value: int, size: int, key: bytes, tweak: str) -> int:
-    """A keyed permutation of 0 .. size - 1; another one for each tweak."""
+    """The number after value in a keyed order of 0 .. size - 1; another order for each tweak."""
     if size < 2:
         return value
     half = ((size - 1).bit_length() + 1) // 2
     mask, width = (1 << half) - 1, (half + 7) // 8
     base = hashlib.blake2b(f"{tweak}|{size}".encode(), key=key[:64])
-    while True:
-        left, right = value >> half, value & mask
-        for r in range(ROUNDS):
+
+    def feistel(number: int, rounds) -> int:
+        left, right = number >> half, number & mask
+        if rounds is _BACK:
+            left, right = right, left
+        for r in rounds:
             h = base.copy()
             h.update(bytes([r]) + right.to_bytes(width, "big"))
             left, right = right, left ^ (int.from_bytes(h.digest(), "big") & mask)
-        value = left << half | right
-        if value < size:
-            return value
+        return right << half | left if rounds is _BACK else left << half | right
+
+    while (place := feistel(value, _FORTH)) >= size:  # walks on: a permutation of the numbers below size
+        value = place
+    value = (place + 1) % size
+    while (value := feistel(value, _BACK)) >= size:
+        pass
+    return value
+
+
+_FORTH, _BACK = range(ROUNDS), range(ROUNDS - 1, -1, -1)
 
 
-def encipher(text: str, kinds: dict[str, str], key: bytes, tweak: str, fits: Callable[[str], bool] = lambda s: True) -> str:
-    """Each character that kinds has becomes one of its kind; the others stay. Among texts that fit, a permutation."""
-    alphabets = [kinds.get(c) for c in text]
+def encipher(text: str, kinds, key: bytes, tweak: str, fits: Callable[[str], bool] = lambda s: True) -> str:
+    """Each character for which kinds has an alphabet becomes one of it; the others stay. The next text in order that fits."""
+    alphabets = [kinds.get(c) or "" for c in text]
     size, value = 1, 0
     for c, a in zip(text, alphabets):
         if a:
-            size, value = size * len(a), value * len(a) + a.index(c)
+            size, value = size * len(a), value * len(a) + _places(a)[c]
     shape = "".join(c if not a else a[0] for c, a in zip(text, alphabets))
     while True:
         value = rest = permute(value, size, key, f"{tweak}|{shape}")
@@ -154,6 +203,20 @@ def ip(text: str, key: bytes) -> str:
             return ".".join(map(str, new))
 
 
+def ip6(text: str, key: bytes) -> str:
+    """The first group, which tells the kind of network, stays."""
+    head, colon, rest = text.partition(":")
+    low = encipher(rest.lower(), _HEX, key, f"ip6{head.lower()}")
+    return head + colon + (low.upper() if rest.isupper() else low)
+
+
+def is_ip6(text: str) -> bool:
+    try:
+        return len(re.findall("[0-9A-Fa-f]+", text)) >= 3 and bool(ipaddress.IPv6Address(text))
+    except ValueError:
+        return False
+
+
 def email(text: str, key: bytes) -> str:
     low = text.lower()
     local, _, domain = low.rpartition("@")
@@ -205,7 +268,7 @@ def one_name(text: str, key: bytes) -> str:
         names, i = LISTED[low]
         new = names[permute(i, len(names), key, f"first{names[0]}")]
         return new.upper() if text.isupper() else new
-    return with_case(encipher(low, _KINDS, key, "name", lambda s: s not in LISTED), text)
+    return with_case(encipher(low, _NameKinds, key, "name", lambda s: s not in LISTED), text)
 
 
 def name(text: str, key: bytes) -> str:
@@ -218,7 +281,7 @@ def is_iban(text: str) -> bool:
 
 
 _octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_capital = r"[^\W\d_a-zß-öø-ÿа-я]\w+"
+_capital = r"[^\W\d_a-zß-öø-ÿа-я]\w+"  # of scripts without case any word
 #: type, group of the match that is replaced, pattern, surrogate, condition. Earlier ones go first where they meet.
 DETECTORS = [
     ("email", 0, re.compile(r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), email, None, "@"),
@@ -226,10 +289,12 @@ DETECTORS = [
     ("secret", 1, re.compile(r"(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?(?=[^\s\"']*\d)([A-Za-z0-9+/_.-]{8,})"), secret, None, "0"),
     ("mac", 0, re.compile(r"\b[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}\b"), mac, None, "0"),
     ("ip", 0, re.compile(rf"(?<![\d.])(?:{_octet}\.){{3}}{_octet}(?!\d|\.\d)"), ip, None, "0"),
+    ("ip", 0, re.compile(r"(?<![\w:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])"), ip6, is_ip6, ":"),
     ("iban", 0, re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), iban, is_iban, "0"),
     ("ssn", 0, re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), ssn, None, "0"),
     ("card", 0, re.compile(r"(?<![\w.+-])[3-6](?:\d{12,18}|\d{3}(?:[ -]\d{4}){3}|\d{3}[ -]\d{6}[ -]\d{5})(?![\w-]|\.\d)"), card, None, "0"),
     ("phone", 0, re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"), phone, None, "0"),
+    ("phone", 0, re.compile(r"(?<![\w.+/=:-])[2-9]\d{2}[2-9]\d{6}(?![\w:-]|\.\d)"), phone, None, "0"),
     ("name", 1, re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, ADDRESS))})\s((?:{_capital})(?:[ -](?:{_capital})){{0,2}})"), name, None, " "),
 ]
 _digit, _address = re.compile(r"\d"), re.compile("|".join(map(re.escape, ADDRESS)))
@@ -237,7 +302,7 @@ _digit, _address = re.compile(r"\d"), re.compile("|".join(map(re.escape, ADDRESS
 
 def entities(text: str) -> list[tuple[int, int, str, Callable]]:
     """(start, end, type, function) of the entities of a text, in order, none over another."""
-    has = {"0": bool(_digit.search(text)), "@": "@" in text, " ": bool(_address.search(text))}
+    has = {"0": bool(_digit.search(text)), "@": "@" in text, ":": text.count(":") > 1, " ": bool(_address.search(text))}
     taken, out = [], []
     for kind, group, pattern, make, condition, needs in DETECTORS:
         if not has[needs]:
@@ -255,7 +320,7 @@ def _made(make: Callable, original: str, key: bytes) -> str:
     return make(original, key)
 
 
-def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, str, str]]]:
+def replaced(text: str, key: bytes) -> tuple[str, list[tuple[str, str, str]]]:
     """The text with surrogates, and (type, original, surrogate) of its entities."""
     found, out, at = [], [], 0
     for s, e, kind, make in entities(text):
@@ -273,11 +338,11 @@ def canonical(kind: str, text: str) -> str:
         return only_digits(low)
     if kind == "phone":  # of a number with the country code 1 the national digits
         head, d = re.match(r"\+\d{1,3}(?=[ .(-])", low), only_digits(low)
-        return d[1:] if head and head[0] == "+1" and len(d) == 11 else low[0].replace("+", "+") * (low[0] == "+") + d
+        return d[1:] if head and head[0] == "+1" and len(d) == 11 else low[0] * (low[0] == "+") + d
     return low.replace(" ", "") if kind == "iban" else low if kind in ("email", "mac", "name") else text
 
 
-def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def collisions(docs: DataFrame, key: bytes) -> DataFrame:
     """(kind, surrogate, originals) where different originals of a corpus have one surrogate, or one original several: none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,8 +356,9 @@ def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return one.unionByName(other).filter("n > 1")
 
 
-def surrogates(docs: DataFrame, key: bytes = KEY, check: bool = True) -> DataFrame:
+def surrogates(docs: DataFrame, key: bytes | None = None, check: bool = True) -> DataFrame:
     """The rows of docs with their text replaced; the other columns as they are."""
+    key = key or key_of(docs.sparkSession)
     if check and (bad := collisions(docs, key).take(1)):
         raise RuntimeError(f"surrogates collide: {bad}")
 
@@ -303,8 +369,9 @@ def surrogates(docs: DataFrame, key: bytes = KEY, check: bool = True) -> DataFra
     return docs.withColumn("text", new_text(F.col("text").cast("string")))
 
 
-def report(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def report(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, text with surrogates, n_entities, kinds (their types in order, joined by commas)."""
+    key = key or key_of(docs.sparkSession)
     if bad := collisions(docs, key).take(1):
         raise RuntimeError(f"surrogates collide: {bad}")
 

@@ -10,7 +10,8 @@ holds a stretch of them:
 Files are named by partition and number; a task writes each under a name of its own and then renames it, so a
 repeated task leaves the same files. They go to the shared folder over pyarrow's file systems, and are read back by Spark.
 
-Null text counts as empty: its document is the end id alone. An empty table gives no files and no rows.
+A document is found by select on the two lists; no table of offsets is made. Null text counts as empty: its document is the
+end id alone. Rows that repeat a doc_id are documents each for itself. An empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from .tokens import library
 TOKENIZER, END = "byte_bpe_50k.json", 2
 #: Ids of a file before the next is begun.
 FILE_IDS = 1 << 22
+#: Documents that are read before their rows go out.
+READ = 4096
 _HEAD = struct.Struct("<4sBBQQQQqQQ")
 
 
@@ -50,7 +53,7 @@ def pack_file(doc_ids: list[int | None], ids: list[bytes], before: int, width: i
 
 class TokenFile:
     def __init__(self, data: bytes):
-        data = memoryview(data)
+        data = memoryview(data).cast("B")
         magic, version, self.width, self.n, self.unnamed, self.n_ids, self.before, self.least, names, bounds = _HEAD.unpack_from(data)
         if magic != b"TOKF" or version != 1:
             raise ValueError("not a token file")
@@ -69,9 +72,6 @@ class TokenFile:
         lo, hi = self.span(i)
         return self.ids[lo:hi]
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.unnamed + [self.least + int(x) for x in self.names.all()]
-
 
 def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END, file_ids: int = FILE_IDS, parts: int | None = None) -> list[tuple[int, int]]:
     """Write the documents' ids under path; (partition, number of its ids) for each partition that has any."""
@@ -108,7 +108,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([done], pa.int64())], ["part", "ids"])
 
     rows = texts(docs).withColumn("h", F.xxhash64("text"))
-    ordered = rows.repartitionByRange(parts or shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "h")
+    ordered = rows.repartitionByRange(parts or shuffle_partitions(docs.sparkSession), "doc_id", "h").sortWithinPartitions("doc_id", "h")
     return sorted(tuple(r) for r in ordered.select("doc_id", "text").mapInArrow(run, "part long, ids long").collect())
 
 
@@ -122,12 +122,14 @@ def read(spark, path: str, sizes: list[tuple[int, int]]) -> DataFrame:
         for b in batches:
             for name, content in zip(b.column("path").to_pylist(), b.column("content")):
                 file = TokenFile(content.as_buffer())
-                ends = file.ends.all().astype(np.int64)
-                begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                raw = memoryview(file.ids.astype("<u4").tobytes())
-                crc = np.fromiter((zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(begins.tolist(), ends.tolist())), np.int64, len(ends))
-                base = starts[int(name.rpartition("/part-")[2].split("-")[0])] + file.before
-                yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids(), pa.int64()), pa.array(base + begins), pa.array(ends - begins), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                base, at = starts[int(name.rpartition("/part-")[2].split("-")[0])] + file.before, 0
+                for first in range(0, file.n, READ):
+                    found = []
+                    for i in range(first, min(file.n, first + READ)):
+                        end = file.ends.select(i)
+                        found.append((file.doc_id(i), base + at, end - at, zlib.crc32(file.ids[at:end].astype("<u4"))))
+                        at = end
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     out = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not sizes:

@@ -67,7 +67,8 @@ class SpanEncoder:
         self.tool, self.lead = Tokenizer.from_file(path), lead
         self.size, self.model, self.normalizer = self.tool.get_vocab_size(), self.tool.model, self.tool.normalizer
         with open(path, encoding="utf-8") as f:
-            parts = json.load(f)["pre_tokenizer"]
+            named_parts = json.load(f)
+        parts, self.added = named_parts["pre_tokenizer"], [t["content"] for t in named_parts["added_tokens"]]
         named = [p["pattern"]["Regex"] for p in parts.get("pretokenizers", []) if "pattern" in p]
         self.find = regex.compile(named[0] if named else public_tokenizers.PATTERN).findall
         self.letters = byte_letters()
@@ -98,6 +99,10 @@ class SpanEncoder:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
     def ids(self, text: str) -> bytes:
+        for added in self.added:
+            if added in text:  # the library takes it out before anything else
+                found = self.tool.encode(text, add_special_tokens=False).ids
+                return struct.pack(f"<{len(found)}I", *found)
         parts = _apart.split(text) if self.lead and odd(text) else text.split(" ")
         first = self._text(parts.pop(0))
         return first + b"".join(map(self.spans.__getitem__, parts))
@@ -107,7 +112,8 @@ _encoders: dict[str, SpanEncoder] = {}
 
 
 def library(name: str, lead: bool) -> SpanEncoder:
-    """Of a file for the tokenizers library, without special tokens; their strings in a text are ordinary text.
+    """Of a file for the tokenizers library, as encode(text, add_special_tokens=False): none is put around a text; the string
+    of one in a text becomes its id.
 
     One for each worker process, whose memo serves all tasks that it runs.
     """

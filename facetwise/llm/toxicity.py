@@ -11,8 +11,10 @@ A text's evidence is the number of windows that the toxic dictionary makes short
 margin, and the probability for each number, are calibrated on labelled rows that the dictionaries haven't seen.
 
 Labels are learned from at most TOXIC and ORDINARY rows (the least by hash of doc_id, no longer than LONGEST
-characters) whose doc_id isn't held out: the bound of the sample. Scores cover every row and whole texts. Null text
-counts as empty and gets the probability of no evidence. Without a toxic and an ordinary row to learn from, every score is 0.
+characters) whose doc_id isn't held out: the bound of the sample. A doc_id is toxic if any of its labels says so; of several
+texts under one doc_id that with the least hash is learned from. Scores cover every row and whole texts; equal texts
+have equal scores. Null text counts as empty and gets the probability of no evidence. Without a toxic and an ordinary row to
+learn from, every score is 0.
 """
 
 from __future__ import annotations
@@ -212,14 +214,15 @@ def train(rows: list[tuple[str, int]]) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> list[tuple[str, int]]:
-    """(text, toxic) of the rows to learn from; at most TOXIC + ORDINARY."""
+    """(text, toxic) of the rows to learn from; at most TOXIC + ORDINARY. Each doc_id counts once, whatever repeats it."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
-    marks = marks.filter(~held_out(F.col("doc_id"), folds)).dropDuplicates(["doc_id"])
-    there = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    marks = marks.filter(~held_out(F.col("doc_id"), folds)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     most = {1: TOXIC, 0: ORDINARY}
-    some = [by_hash(marks.filter(F.col("toxic") == y), ["doc_id"], n, there.get(y, 0)) for y, n in most.items()]
-    chosen = some[0].unionByName(some[1]).withColumn("h", F.xxhash64("doc_id"))  # few more than TOXIC + ORDINARY
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").filter(F.length("text") <= LONGEST).select("text", "toxic", "h").collect()
+    some = [by_hash(marks.filter(F.col("toxic") == y), ["doc_id"], n) for y, n in most.items()]
+    chosen = some[0].unionByName(some[1])  # few more than TOXIC + ORDINARY
+    rows = texts(docs).filter(F.length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+    rows = rows.select("toxic", F.col("least.text").alias("text"), F.xxhash64("doc_id").alias("h")).collect()
     out = []
     for r in sorted(rows, key=lambda r: (r["h"], r["text"])):
         if most[r["toxic"]] > 0:

@@ -53,6 +53,13 @@ def test_exact(docs, corpus, bits):
     assert got == want
 
 
+def test_survivors_are_rows(spark):
+    """A doc_id with two texts is judged for each; rows without doc_id stay only where no other has their text."""
+    rows = [(2, "A", 1), (5, "A", 2), (2, "B", 3), (None, "A", 4), (None, "C", 5), (None, None, 6), (1, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept int")
+    assert sorted(r["kept"] for r in exact_dedup.survivors(docs).collect()) == [2, 3, 5, 7]
+
+
 def test_chunks_join_to_the_text(docs, corpus):
     from pyspark.sql import functions as F
 
@@ -175,6 +182,23 @@ def test_fingerprints(spark, corpus):
         assert abs(r["near_edited"] - alike(a, b)) < 1e-12 and abs(r["near_next"] - alike(a, c)) < 1e-12
 
 
+def test_next_with_repeated_and_missing_ids(spark):
+    """Descending doc_id, then hash of the text, rows without doc_id last; a doc_id of many rows is cut into several ranges."""
+    rows = [(None, f"no id {i} " * 3) for i in range(60)] + [(5, f"text {i} and more") for i in range(80)] + [(i, f"own {i} here") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = fingerprints.edited_likeness(df, parts=6).collect()
+    h = lambda t: simhash.signed(xxhash.xxh64_intdigest(t.encode(), 42))
+    order = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], h(r[1])), reverse=True)
+    want = []
+    for at, (i, t) in enumerate(order):
+        nxt = order[(at + 1) % len(order)][1]
+        edited = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+        want.append((str(i), hashlib.sha256(edited.encode()).hexdigest()))
+    assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in got) == sorted(want)
+    places = fingerprints.with_next(df, parts=6).groupBy("at").count().collect()
+    assert len(places) == 6 and max(r["count"] for r in places) < 60
+
+
 def test_sketches_merge_and_estimate(spark):
     from pyspark.sql import functions as F
 

@@ -17,7 +17,7 @@ from facetwise.llm import bpe, packing, token_files, tokens
 from facetwise.llm.cutting_stock import solve
 from facetwise.llm.elias_fano import SAMPLE, EliasFano, build
 
-BITS = ["a", "b", " ", " ", "  ", "\n", "\t", "'", "'s", "'ll", "é", "1", "23", "!", "?!", " ", "　", "日本", "\x1c", "\r\n", "🙂", "xxxxxxx", "the", "<|endoftext|>", "Σ", "ΑΣ", "é", "́", "İ", "ǅ", "½", "\x00", "A", "THE", "word.", "&&&", "(x)", "-"]
+BITS = ["a", "b", " ", " ", "  ", "\n", "\t", "'", "'s", "'ll", "é", "1", "23", "!", "?!", " ", "　", "日本", "\x1c", "\r\n", "🙂", "xxxxxxx", "the", "<|endoftext|>", "<|startoftext|>", "<|", "<|ENDOFTEXT|>", "Σ", "ΑΣ", "é", "́", "İ", "ǅ", "½", "\x00", "A", "THE", "word.", "&&&", "(x)", "-"]
 TEXTS = st.lists(st.sampled_from(BITS), max_size=40).map("".join)
 
 
@@ -26,7 +26,6 @@ def tool(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda x: t.encode(x, add_special_tokens=False).ids
 
 
@@ -51,6 +50,13 @@ def test_tree_is_the_library(text, leaf, window):
     assert bpe.decode(encoder.names, got, leaf) == text.encode()
 
 
+def test_usual_documents_go_through_joins(monkeypatch):
+    encoder, joins, own = tokens.by_ranks(bpe.RANKS), [], bpe.join
+    monkeypatch.setattr(bpe, "join", lambda *a: joins.append(1) or own(*a))
+    text = "some words of a document, " * 57  # 1,482 characters
+    assert bpe.encode(encoder, text) == RANKED.encode_ordinary(text) and len(joins) >= 3
+
+
 def test_join_is_associative():
     encoder = tokens.by_ranks(bpe.RANKS)
     parts = [(t, encoder.ids(t)) for t in ("he", "llo wor", "ld's  ", " end", "")]
@@ -95,6 +101,18 @@ def test_files(spark, docs, corpus, tmp_path):
     assert docs_of == [(i, [*BYTE(t), 2]) for i, t in sorted(corpus)]
 
 
+def test_files_with_repeated_and_missing_ids(spark):
+    rows = [(None, "a b"), (None, None), (7, "x"), (7, "x"), (7, "y <|endoftext|> z"), (-3, "")]
+    got = token_files.write_and_read(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = sorted((i if i is not None else -(2**70), len(x := [*BYTE(t or ""), 2]), zlib.crc32(np.array(x, "<u4"))) for i, t in rows)
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -(2**70), r["n_tokens"], r["ids_crc32"]) for r in got) == want
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == [None, None, -3, 7, 7, 7]
+
+
 def check_packed(rows, corpus, capacity=2048):
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
