@@ -62,5 +62,17 @@ def cross_tab(records: DataFrame, schema: Schema, keys: tuple[str, ...], across:
     return rows.groupBy(*names).pivot("__across", values).agg(F.count(F.lit(1))).na.fill(0, [v for v in values]) if values else rows.select(*names).distinct()
 
 
+def cross_counts(records: DataFrame, schema: Schema, keys: tuple[str, ...], across: str) -> DataFrame:
+    """(keys, value, count) of the values that records have, in order."""
+    fields, d = [schema.find(k) for k in keys], schema.find(across)
+    if not fields or any(f is None or not f.sortable for f in fields):
+        raise QueryError("no group field, or one that can't group")
+    if d is None or not d.dimension or d.kind == Kind.LIST:
+        raise QueryError("a cross-tab is over a scalar dimension")
+    names = [f"`{f.name}`" for f in fields]
+    rows = records.select(*names, facet_text(d, F.col(f"`{d.name}`")).alias("value")).filter("value is not null")
+    return rows.groupBy(*names, "value").agg(F.count(F.lit(1)).alias("count")).orderBy(*names, "value")
+
+
 def last_timestamp(records: DataFrame) -> DataFrame:
     return records.agg(F.coalesce(F.max("__timestamp"), F.lit(0)).alias("last_timestamp"))

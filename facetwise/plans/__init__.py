@@ -6,6 +6,7 @@ Each runs over its whole tables; limits are those of pages. SQL names its record
 from __future__ import annotations
 
 import tempfile
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from ..builder import m
 from ..functions.scalar import STOP_WORDS, word_blob
 from ..operators import dictionary, dml
-from ..query import Comparer, Filter, GeoFilter
+from ..query import Comparer, Filter, GeoFilter, SliceQuery
 from ..schema import Field, Kind, Schema, dimension
+from ..sources import export
 from . import repositories as R
 
 SQL = {"orders": R.ORDERS_SQL, "events": R.EVENTS_SQL, "parts": R.PARTS_SQL, "documents": R.DOCUMENTS_SQL, "customers": R.CUSTOMERS_SQL, "lines": R.LINES_SQL}
@@ -89,7 +91,7 @@ FILTERS = {
     "filter_system_timestamp": ("orders", m("__timestamp") >= 900, "__timestamp >= 900"),
     "geo_within": ("customers", m("place").within(1500, 40.0, -75.0), "miles <= 1500"),
     "geo_outside": ("customers", m("place").beyond(6000, 40.0, -75.0), "miles >= 6000"),
-    "geo_equals": ("customers", GeoFilter("place", Comparer.EQ, 40.0, -75.0, 2000), "abs(miles - 2000) <= 25 / 1609.344"),
+    "geo_equals": ("customers", GeoFilter("place", Comparer.EQ, 40.0, -75.0, 5548.782), "abs(miles - 5548.782) <= 25 / 1609.344"),  # as far as the customer with key 7
     "geo_not_equal": ("customers", GeoFilter("place", Comparer.NE, 40.0, -75.0, 2000), "abs(miles - 2000) > 25 / 1609.344"),
 }
 
@@ -156,28 +158,31 @@ def ordinal(spark, d):
 
 
 KV = Schema("kv", (Field("id", Kind.LONG, primary_key=True, nullable=False), Field("name", Kind.STRING, length=12), Field("price", Kind.FLOAT)))
+#: Keys from here on are of no part; divisible by eight.
+NEW_KEYS = 8_000_000_000_000
 SEEN = ["id", "name", "price", "__record_idx", "__timestamp"]
 
 
 def _kv(spark, d):
-    rows = R.read(spark, d, "part").filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("id"), F.substring("p_name", 1, 12).alias("name"), F.col("p_retailprice").alias("price"))
+    rows = R.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.substring("p_name", 1, 12).alias("name"), F.col("p_retailprice").alias("price"))
     rows = rows.withColumns({"__record_idx": F.col("id"), "__timestamp": F.lit(100)})
     return dml.hashed(rows, KV)
 
 
-KV_SQL = "kv as (select p_partkey as id, substr(p_name, 1, 12) as name, p_retailprice as price, p_partkey as __record_idx, 100 as __timestamp from part where p_partkey % 3 <> 0)"
+KV_SQL = "kv as (select p_partkey as id, substr(p_name, 1, 12) as name, p_retailprice as price, p_partkey as __record_idx, 100 as __timestamp from part)"
 
 
 def upsert_state(spark, d):
-    """Each fourth part comes twice: first as another, then as it is; keys that are divisible by three are new."""
-    part = R.read(spark, d, "part").filter("p_partkey % 4 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"))
+    """Each part comes twice: first as another, then as it is; a third of them under keys that are new."""
+    key = F.col("p_partkey") + F.when(F.col("p_partkey") % 3 == 0, NEW_KEYS).otherwise(0)
+    part = R.read(spark, d, "part").select(key.alias("id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"))
     later = part.withColumn("price", F.when(F.col("id") % 8 == 0, F.col("price") + 1).otherwise(F.col("price"))).withColumn("o", F.lit(2))
     batch = part.withColumn("name", F.lit("first")).withColumn("o", F.lit(1)).unionByName(later)
     return dml.upsert(_kv(spark, d), batch, KV, 200, "o").select(*SEEN)
 
 
 UPSERT_SQL = f"""
-with {KV_SQL}, batch as (select p_partkey as id, substr(p_name, 1, 12) as name, p_retailprice + (case when p_partkey % 8 = 0 then 1 else 0 end) as price from part where p_partkey % 4 = 0),
+with {KV_SQL}, batch as (select p_partkey + (case when p_partkey % 3 = 0 then {NEW_KEYS} else 0 end) as id, substr(p_name, 1, 12) as name, p_retailprice + (case when p_partkey % 8 = 0 then 1 else 0 end) as price from part),
 added as (select b.*, (select max(__record_idx) from kv) + row_number() over (order by id) as idx from batch b where id not in (select id from kv))
 select id, name, price, __record_idx, __timestamp from kv where id not in (select id from batch)
 union all select b.id, b.name, b.price, kv.__record_idx, 200 from batch b join kv on kv.id = b.id
@@ -254,13 +259,50 @@ def misfit_rows(spark, d):
     return R.Repository(KV, _kv(spark, d)).validate(R.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("!!!")).alias("name"), F.col("p_size").alias("more")))
 
 
+def _fresh(spark, name: str) -> str:
+    """A path in the folder that driver and executors share; one of our own only where all run in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set")
+        root = "file://" + tempfile.mkdtemp(prefix="facetwise-")
+    return f"{root.rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+
+
+def exported(spark, d):
+    """Written as compressed JSON and read back."""
+    rows = R.read(spark, d, "events").select("event_id", "event_type", "value")
+    path = _fresh(spark, "events")
+    export.export(rows, path, "json")
+    return export.read(spark, path, rows.schema, "json")
+
+
+def altered(spark, d):
+    """A field goes, another comes."""
+    r = R.Repository(KV, _kv(spark, d))
+    r.alter(Schema("kv", (*KV.fields[:2], Field("note", Kind.STRING))))
+    return r.records.select("id", "name", "note", "__record_idx")
+
+
+def cleared(spark, d):
+    """A table that is cleared: no records and no grants, but its facet names."""
+    from ..repository import Repository
+    from ..sources.storage import SnapshotTable
+
+    r = Repository.open(SnapshotTable(spark, _fresh(spark, "cleared"), R.PARTS))
+    r.upsert(R.parts(spark, d).records, now=1)
+    r.grant([(1, "x")])
+    r.clear()
+    left = r.records.select(F.lit("records").alias("part"), F.lit("").alias("value")).unionByName(r.grants.select(F.lit("grants").alias("part"), F.col("fk_field").alias("value")))
+    return left.unionByName(r.dictionary.filter("didx = 1000000").select(F.lit("names").alias("part"), "value"))
+
+
 def upsert_table(spark, d):
     """Through a snapshot table: created, filled twice, read back as facets."""
     from ..repository import Repository
     from ..sources.storage import SnapshotTable
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="facetwise-")
-    table = SnapshotTable(spark, f"{root.rstrip('/')}/parts-{spark.sparkContext.applicationId}-{abs(hash((d, datetime.now())))}", R.PARTS)
+    table = SnapshotTable(spark, _fresh(spark, "parts"), R.PARTS)
     rows = R.parts(spark, d).records
     r = Repository.open(table)
     r.upsert(rows.filter("p_partkey % 2 = 0"), now=1)
@@ -323,6 +365,7 @@ def registered() -> dict[str, tuple]:
         "keyword_phrase": (keyword('"Public License"'), keyword_sql("public\\s+license")),
         "keyword_stop_word": (keyword("the"), f"with {R.DOCUMENTS_SQL} select doc_id from rec where false"),
         "word_blob": (lambda spark, d: R.read(spark, d, "documents").select("doc_id", word_blob(F.col("text")).alias("blob")), "select doc_id, array_to_string(list_filter(string_split(regexp_replace(text, '[\",.!?\\r\\n]', ' ', 'g'), ' '), lambda w: w <> '' and lower(w) not in (" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")), ' ') as blob from documents"),
+        "keyword_accents": (keyword("e"), keyword_sql("e", "strip_accents(text)")),
         "security_single": (q(lambda b: b.where_user(3).everything().select(*SHOWN["orders"])), rec + "c_nationkey % 5 = 3"),
         "security_multi": (q(lambda b: b.where_user(1, 6, 2).everything().select(*SHOWN["orders"])), rec + "c_nationkey % 5 in (1, 2)"),
         "url_query": (q(lambda b: b.where_url("https://x/?ff=c_nationkey,LessThanOrEq,12|c_mktsegment,Like,B*&fs=o_totalprice,0&rpp=30&po=2&fsel=c_mktsegment|o_orderstatus|o_totalprice").records().select("o_orderkey", "c_mktsegment", "o_orderstatus", "o_totalprice")), page_sql("o_totalprice desc nulls last, o_orderkey", "limit 30 offset 30", "c_nationkey <= 12 and c_mktsegment like 'B%'")),
@@ -339,6 +382,11 @@ def registered() -> dict[str, tuple]:
         "child_sync": (child_sync, f"with {R.ORDERS_SQL} select __record_idx, case when o_orderkey % 2 = 0 then n_name end as note from rec where o_orderkey % 3 <> 0"),
         "grants_changed": (granted, GRANTED_SQL),
         "rows_that_do_not_fit": (misfit_rows, "select 'name' as field, 'too long' as problem, count(*) as n from part where length(p_name) + 3 > 12 union all select 'more', 'unknown', 1"),
+        "page_by_time": (page(lambda b: b.order_by_descending("__timestamp").records_per_page(40)), page_sql("__timestamp desc nulls last, o_orderkey", "limit 40")),
+        "slice_long": (lambda spark, d: (lambda r: r.cross_counts(SliceQuery(r.query().group_by("n_name").q, "o_orderpriority")))(R.orders(spark, d)), f"with {o} select n_name, o_orderpriority as value, count(*) as count from rec group by all"),
+        "export_round_trip": (exported, "select event_id, event_type, value from events"),
+        "altered_state": (altered, f"with {KV_SQL} select id, name, cast(null as varchar) as note, __record_idx from kv"),
+        "cleared_table": (cleared, "select distinct 'names' as part, p_brand as value from part"),
         "snapshot_table_facets": (upsert_table, facet_sql("parts", "true", ("p_brand", "p_type"), ("words",), (("p_size", 10),))),
     }
     return out
@@ -356,8 +404,8 @@ def keyword(text: str):
     return lambda spark, d: R.documents(spark, d).query().where_keyword(text).everything().select("doc_id")
 
 
-def keyword_sql(pattern: str) -> str:
-    return f"with {R.DOCUMENTS_SQL} select doc_id from rec where regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}_]){pattern}($|[^\\p{{L}}\\p{{N}}_])')"
+def keyword_sql(pattern: str, text: str = "text") -> str:
+    return f"with {R.DOCUMENTS_SQL} select doc_id from rec where regexp_matches({text}, '(?i)(^|[^\\p{{L}}\\p{{N}}_]){pattern}($|[^\\p{{L}}\\p{{N}}_])')"
 
 
 def queries():

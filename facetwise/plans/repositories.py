@@ -132,8 +132,15 @@ CUSTOMERS_SQL = """
 geo as (
   select c_custkey, c_name, c_acctbal, c_mktsegment, cast((c_custkey * 37) % 1200 as double) / 10 - 60 as lat, cast((c_custkey * 101) % 3600 as double) / 10 - 180 as lon, c_custkey as __record_idx from customer
 ),
+halves as (select *, radians(lat + 40.0) / 2 as middle, radians(lat - 40.0) / 2 as half, radians(lon + 75.0) / 2 as turn from geo),
+sums as (
+  select *, pow(sin(half), 2) * pow(cos(turn), 2) + pow(cos(middle), 2) * pow(sin(turn), 2) as near,
+         pow(cos(half), 2) * pow(cos(turn), 2) + pow(sin(middle), 2) * pow(sin(turn), 2) as far from halves
+),
+arcs as (select *, atan2(sqrt(near), sqrt(far)) as angle, sqrt(near * far) / nullif(atan2(sqrt(near), sqrt(far)), 0) as ratio from sums),
 rec as (
-  select *, 2 * 6371008.8 / 1609.344 * asin(sqrt(least(1.0, pow(sin(radians(lat - 40.0) / 2), 2) + cos(radians(lat)) * cos(radians(40.0)) * pow(sin(radians(lon + 75.0) / 2), 2)))) as miles from geo
+  select *, 2 * 6378137.0 / 1609.344 * angle * (case when near < 1e-15 or far < 1e-9 then 1.0 else 1 + 1 / 298.257223563 * (
+    (3 * ratio - 1) / (2 * far) * pow(sin(middle), 2) * pow(cos(half), 2) - (3 * ratio + 1) / (2 * near) * pow(cos(middle), 2) * pow(sin(half), 2)) end) as miles from arcs
 )"""
 
 

@@ -150,7 +150,8 @@ class Repository:
     compat: filters on unknown fields or with unreadable values are ignored. collation: of string comparisons, e.g. UTF8_LCASE.
     """
 
-    CACHED, LOGGED = 64, 1000
+    #: Results that fetch() keeps, entries of its log, columns of a cross-tab.
+    CACHED, LOGGED, COLUMNS = 64, 1000, 10_000
 
     def __init__(self, schema: Schema, rows: DataFrame | None = None, dictionary_: DataFrame | None = None, grants: DataFrame | None = None, table: SnapshotTable | None = None, compat: bool = False, collation: str | None = None):
         self.schema, self.table, self.compat, self.collation = schema, table, compat, collation
@@ -171,7 +172,8 @@ class Repository:
         if self.table:
             return self.table.read("dictionary")
         if self._dictionary is None:
-            self._dictionary = dictionary.grow(self._rows, self.schema)
+            # held, as facets, chosen values and cross-tabs all look it up; a lost part is computed again
+            self._dictionary = dictionary.grow(self._rows, self.schema).persist()
         return self._dictionary
 
     @property
@@ -227,7 +229,9 @@ class Repository:
 
     def cross_tab(self, q: SliceQuery) -> DataFrame:
         f = self.schema.find(q.dimension)
-        values = [] if f is None or f.kind == Kind.LIST else [r["value"] for r in self.dictionary.filter(F.col("didx") == f.didx).orderBy("value").limit(10_000).collect()]
+        values = [] if f is None or f.kind == Kind.LIST else [r["value"] for r in self.dictionary.filter(F.col("didx") == f.didx).orderBy("value").limit(self.COLUMNS + 1).collect()]
+        if len(values) > self.COLUMNS:
+            raise QueryError(f"{q.dimension} has over {self.COLUMNS} values; cross_counts() gives them as rows")
         rows = aggregate.cross_tab(self.filtered(q.query), self.schema, q.query.groups, q.dimension, values)
         keys = [self.schema[g].name for g in q.query.groups]
         order = []
@@ -239,6 +243,10 @@ class Repository:
         rows = rows.orderBy(*order, *[F.col(f"`{k}`") for k in keys])
         return rows if q.query.per_page <= 0 else rows.offset((max(1, q.query.page) - 1) * q.query.per_page).limit(q.query.per_page)
 
+    def cross_counts(self, q: SliceQuery) -> DataFrame:
+        """The cross-tab in its long form, for dimensions with any number of values: keys, value, count; no rows for counts of 0."""
+        return aggregate.cross_counts(self.filtered(q.query), self.schema, q.query.groups, q.dimension)
+
     def last_timestamp(self, query: Query | None = None) -> DataFrame:
         return aggregate.last_timestamp(self.filtered(query or Query()))
 

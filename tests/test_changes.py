@@ -81,11 +81,35 @@ def test_versions_and_schema(spark, table):
     assert not repo.update().commit().success
 
 
+def test_writes_store_what_they_change(spark, table, tmp_path):
+    """Grants and names leave the records where they are; of two writers of a version one gets an error; old folders go."""
+    repo = Repository.open(table)
+    repo.upsert(spark.createDataFrame([(1, "a", 1, "red", ["x"], 0)], BATCH), now=1)
+    before = table.at("records")
+    for i in range(5):
+        repo.grant([(i, "a")])
+    repo.revoke([(0, "a")])
+    assert table.at("records") == before and table.read().count() == 1 and repo.grants.count() == 4
+    folders = [n for n in table.files.names(table.path) if n.startswith("version=")]
+    assert len(folders) <= 1 + 2 * table.keep and all(set(table.files.names(f"{table.path}/{n}")) == {"grants"} for n in folders if n not in (before.split("/")[-2],))
+    old = table.version
+    assert not table.files.put(f"{table.path}/{old}.done", "other") and table.version == old and table.schema == SCHEMA
+    other = SnapshotTable(spark, table.path)
+    put = other.files.put
+    other.files.put = lambda path, text: (put(path, text), False)[1]  # another was first
+    with pytest.raises(StaleSchemaError):
+        Repository.open(other).grant([(9, "b")])
+    assert table.read().count() == 1
+
+
 def test_catalog(spark, tmp_path):
     c = Catalog(spark, f"file://{tmp_path}")
     assert not c.exists("things")
     c.create(SCHEMA)
     assert c.exists("things") and [r["name"] for r in c.listing("thi").collect()] == ["things"] and c.open("things").schema == SCHEMA
+    c.create(Schema("tools", SCHEMA.fields))
+    assert [r["name"] for r in c.listing(sort="created", descending=True).collect()] == ["tools", "things"] and c.listing(sort="item_count", page=2, per_page=1).count() == 1
+    assert c.listing().first()["created"] is not None
     c.drop("things")
     assert not c.exists("things")
     with pytest.raises(FileNotFoundError):
