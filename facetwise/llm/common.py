@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -122,6 +123,18 @@ def hold(owner: str, drop: Callable[[], None]) -> None:
     _holder[:] = [(owner, drop)]
 
 
+@contextlib.contextmanager
+def rows_a_batch(spark: SparkSession, n: int):
+    """What runs inside sends so many rows at once to Python at most: for rows that hold much."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(n, int(before)) if int(before) > 0 else n)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def by_hash(rows: DataFrame, keys: list[str], want: int) -> DataFrame:
     """About `want` different keys and a few more, those with the least hashes, by a threshold: for rows, all that have such keys.
 

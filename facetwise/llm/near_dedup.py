@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import by_hash, keep_only, lookup, settle, shuffle_partitions, texts, without
+from .common import by_hash, hold, keep_only, lookup, rows_a_batch, settle, shuffle_partitions, texts, without
 from .components import components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -51,6 +51,8 @@ TRIES = 6
 #: Rows that show which prefix shingles are so common that one task should not get all rows of one; they are then dealt
 #: to several, where one of them would have over 1 / HOT of a task's usual rows and HOT_LEAST.
 SHOWN, HOT, HOT_LEAST = 4000, 4, 50_000
+#: Pairs whose sets a worker holds at once.
+BATCH = 500
 SLACK = 1e-9
 
 
@@ -73,6 +75,7 @@ def heads(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        hold("near_dedup", dict)
         row = TaskContext.get().partitionId() << 40
         for b in batches:
             sizes, digests, fps, keys = [], [], [], []
@@ -81,7 +84,7 @@ def heads(docs: DataFrame, width: int, similarity: float) -> DataFrame:
                 sizes.append(len(found))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 fps.append(simhash.signed(simhash.majority(found.view(np.uint64))))
-                keys.append(found[: prefix_length(len(found), similarity)])
+                keys.append(found[: prefix_length(len(found), similarity)].copy())
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
             rows = pa.array(np.arange(row, row + b.num_rows))
@@ -258,7 +261,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                     keep[i] = shared >= similarity * (len(a) + len(b) - shared) - SLACK
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
-    return settle(both.mapInArrow(run, "a long, b long"), "near-pairs")
+    with rows_a_batch(pairs.sparkSession, BATCH):
+        return settle(both.mapInArrow(run, "a long, b long"), "near-pairs")
 
 
 def _open(rows: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
