@@ -29,9 +29,13 @@ def _star(links: DataFrame, both: bool, total: int) -> DataFrame:
     return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _state(links: DataFrame) -> tuple:
-    row = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _state(links: DataFrame) -> tuple[int, bool]:
+    """How many links there are, and whether they are stars: no node has two smaller ends, or a smaller and a larger one."""
+    ends = links.select(F.col("a").alias("n"), F.lit(1).alias("smaller"), F.lit(0).alias("larger"))
+    ends = ends.unionByName(links.select(F.col("b").alias("n"), F.lit(0).alias("smaller"), F.lit(1).alias("larger")))
+    nodes = ends.groupBy("n").agg(F.sum("smaller").alias("smaller"), F.max("larger").alias("larger"))
+    row = nodes.agg(F.sum("smaller"), F.count(F.when(F.col("smaller") + F.col("larger") * F.signum("smaller") > 1, 1))).first()
+    return row[0] or 0, not row[1]
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -40,18 +44,14 @@ def components(links: DataFrame) -> DataFrame:
     No links give no rows. Links of a node with itself and repeated links change nothing; nodes that have only
     such links give no row.
     """
-    links = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = settle(links, "links")
-    state = _state(links)
+    links = settle(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
+    total, stars = _state(links)
     for _ in range(MOST_STEPS):
-        if not state[0]:
+        if stars:
             break
-        wide = settle(_star(links, True, state[0]), "links")  # as many links as before at most
-        links = settle(_star(wide, False, state[0]), "links")
-        now = _state(links)
-        if now == state:
-            break
-        state = now
+        wide = settle(_star(links, True, total), "links")  # as many links as before at most
+        links = settle(_star(wide, False, total), "links")
+        total, stars = _state(links)
     else:
         raise RuntimeError(f"no end after {MOST_STEPS} steps")
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))

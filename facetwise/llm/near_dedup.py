@@ -42,8 +42,6 @@ WIDTH, SIMILARITY = 5, 0.8
 SHARE = 0.1
 #: Documents of a bucket on one side of a block of pairs.
 MEMBERS = 256
-#: Times that rows with too few keys in open buckets are left out.
-PEELS = 2
 #: Rows of a bucket with which each one is held against first.
 CENTRES = 6
 #: Rows of a bucket with which a row that isn't connected to them is held against next.
@@ -265,23 +263,25 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         return settle(both.mapInArrow(run, "a long, b long"), "near-pairs")
 
 
-def _open(rows: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """The rows of buckets whose rows the known links don't connect, with their roots; size: rows that are left of the key.
+def _stars(roots: DataFrame) -> DataFrame:
+    """Links (a, b) from the roots to the others: few steps connect what later links join."""
+    return roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
 
-    A near pair that isn't connected shares its keys in such buckets only, so rows with too few of them go, and then buckets that they held open.
+
+def _open(rows: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """The rows of buckets of several roots (node, root), with their roots; size: rows that are left of the key.
+
+    A near pair that isn't connected shares its keys in such buckets only, so rows with too few of them go.
     """
-    roots = components(known).select(F.col("node").alias("row"), "root")
-    rows = settle(rows.drop("size").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "bucket-roots")
-    for _ in range(PEELS):
-        open_ = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key", "size")
-        rows = lookup(rows.drop("size"), open_, ["key"], "size", rows.count()).filter("size is not null")
-        rows = rows.withColumn("have", F.count(F.lit(1)).over(Window.partitionBy("row"))).filter(F.col("have") >= in_all(similarity)).drop("have")
-        rows = settle(rows, "open-rows")
-    return rows
+    rows = settle(rows.drop("size").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row")), "bucket-roots")
+    open_ = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key", "size")
+    rows = lookup(rows.drop("size"), open_, ["key"], "size", rows.count()).filter("size is not null")
+    rows = rows.withColumn("have", F.count(F.lit(1)).over(Window.partitionBy("row"))).filter(F.col("have") >= in_all(similarity)).drop("have")
+    return settle(rows, "open-rows")
 
 
 def links(docs: DataFrame, heads_: DataFrame, width: int, similarity: float, members: int) -> DataFrame:
-    """Near pairs (a, b) of rows that connect just what all near pairs connect. docs: those of the heads, a settled table."""
+    """Links (a, b) of rows that connect just what all near pairs connect. docs: those of the heads, a settled table."""
     first = settle(heads_.groupBy("digest").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "same-sets")
     same = lookup(heads_.select("row", "digest"), first, ["digest"], "copies", heads_.count()).filter(F.col("first") != F.col("row"))
     same = settle(same.select(F.col("first").alias("a"), F.col("row").alias("b")), "same-pairs")
@@ -294,20 +294,19 @@ def links(docs: DataFrame, heads_: DataFrame, width: int, similarity: float, mem
     classes = simhash.classes(settle(alone.select(F.col("row").alias("doc_id"), "fp"), "fingerprints"))
     near_fps = classes.filter("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
     pairs = settle(_ordered(near_fps.unionByName(_beside(rarest(found, similarity), similarity, members))), "pairs")
-    known = verified(pairs, sets, similarity)
-    open_ = _open(found, known, similarity)
+    roots = components(verified(pairs, sets, similarity))
+    open_ = _open(found, roots, similarity)
     more = _ordered(_across(rarest(open_, similarity), similarity, members))
     more = settle(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    tried, known = pairs.unionByName(more), known.unionByName(verified(more, sets, similarity))
-
-    left = rarest(_open(open_.drop("root"), known, similarity), similarity).withColumn("blocks", F.ceil(F.col("size") / members).cast("int"))
+    roots = components(_stars(roots).unionByName(verified(more, sets, similarity)))
+    left = rarest(_open(open_.drop("root"), roots, similarity), similarity).withColumn("blocks", F.ceil(F.col("size") / members).cast("int"))
     left = left.withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     left = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "n", "left", "row", "root", "block")
     sorted_ = left.repartition(shuffle_partitions(docs.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     rest = _ordered(sorted_.mapInArrow(_crossed(similarity), "a long, b long"))
-    rest = settle(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
-    return same.unionByName(known).unionByName(verified(rest, sets, similarity))
+    rest = settle(rest.join(pairs.unionByName(more), ["a", "b"], "left_anti"), "pairs")
+    return same.unionByName(_stars(roots)).unionByName(verified(rest, sets, similarity))
 
 
 def _sets(docs: DataFrame, names: DataFrame, width: int) -> DataFrame:
