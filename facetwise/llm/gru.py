@@ -2,6 +2,8 @@
 
 Gates: z = s(xz + h Uz), r = s(xr + h Ur), n = tanh(xn + r * (h Un)), h' = n + z * (h - n). The inputs xs come
 summed up already, biases included, as rows of 3 * size; U is (size, 3 * size).
+
+The functions by columns are the same layer, with a row's numbers below each other, which is several times as fast for many rows.
 """
 
 from __future__ import annotations
@@ -65,6 +67,71 @@ def backward(grads: np.ndarray, kept: list, u: np.ndarray) -> tuple[np.ndarray,
     return dxs, du
 
 
+def half_gates(w: np.ndarray) -> np.ndarray:
+    """Inputs or U whose gates are halved, as the functions by columns take them: s(x) = (tanh(x / 2) + 1) / 2."""
+    out, size = w.copy(), w.shape[-1] // 3
+    out[..., : 2 * size] *= 0.5
+    return out
+
+
+def _gates_and_new(x: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    size, m = len(h), u @ h
+    gates, hn = m[: 2 * size], m[2 * size :]
+    gates += x[: 2 * size]
+    np.tanh(gates, out=gates)
+    gates += 1
+    gates *= 0.5
+    n = hn * gates[size:]
+    n += x[2 * size :]
+    np.tanh(n, out=n)
+    out = h - n
+    out *= gates[:size]
+    out += n
+    return gates, hn, n, out
+
+
+def step_columns(x: np.ndarray, h: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The state (size, rows) after h and x (3 * size, rows); u: transposed. x and u are of half_gates."""
+    return _gates_and_new(x, h, u)[3]
+
+
+def forward_columns(xs: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, list]:
+    """xs (steps, 3 * size, rows) of half_gates, u transposed and of half_gates -> states (steps, size, rows), and what backward_columns needs."""
+    out, kept = np.empty((len(xs), *h.shape), xs.dtype), []
+    for t, x in enumerate(xs):
+        gates, hn, n, out[t] = _gates_and_new(x, h, u)
+        kept.append((h, gates, n, hn))
+        h = out[t]
+    return out, kept
+
+
+def backward_columns(grads: np.ndarray, kept: list, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As backward, for grads (steps, size, rows) and u as it is, neither transposed nor halved; gives dxs (steps, 3 * size, rows), by inputs that aren't halved."""
+    size, dh, du = u.shape[0], np.zeros_like(grads[0]), np.zeros_like(u)
+    dxs = np.empty((len(grads), 3 * size, grads.shape[2]), grads.dtype)
+    for t in range(len(kept) - 1, -1, -1):
+        h, gates, n, hn = kept[t]
+        z, dx = gates[:size], dxs[t]
+        dh = dh + grads[t]
+        np.subtract(h, n, out=dx[:size])
+        dx[:size] *= dh
+        dn = dx[2 * size :]
+        np.multiply(n, n, out=dn)
+        np.subtract(1, dn, out=dn)
+        dn *= dh
+        dh *= z
+        dn *= 1 - z
+        np.multiply(dn, hn, out=dx[size : 2 * size])
+        both = 1 - gates
+        both *= gates
+        dx[: 2 * size] *= both
+        dm = dx.copy()
+        dm[2 * size :] *= gates[size:]
+        du += h @ dm.T
+        dh += u @ dm
+    return dxs, du
+
+
 class Adam:
     def __init__(self, weights: dict[str, np.ndarray], rate: float, most: float = 1.0):
         self.weights, self.rate, self.most, self.t = weights, rate, most, 0

@@ -10,11 +10,12 @@ output softmax is factored: a class of symbols, then a symbol of the class. A wo
 times (c + 0.1) / (N_bin + 0.1 (V_bin + 1)), so the probabilities of all words, unseen ones included, sum to at most one.
 The state is carried across windows, so a document's score is the log-likelihood of the whole text.
 
-The network's weights are trained in numpy by truncated backpropagation on slices of SLICE characters, drawn by hash from the whole
-texts of all training documents: GROW of all slices, and SAMPLE at least. They are dealt to learners of LEARNER slices; in
-each of ROUNDS rounds every learner goes on from the same weights over its own slices, and the weights are averaged, in a
-tree, so what is learned from grows with the corpus and no task or driver holds more than a learner's share. Words, bins and all
-counts cover every training document.
+The network's weights are trained in numpy by truncated backpropagation on every symbol of every training document, in ROUNDS
+rounds, each over another part of all texts' pieces of PIECE symbols, dealt by hash. A learner has SHARE symbols in all; in a round every learner
+goes on from the same weights once over its own pieces, and the weights are averaged by symbols, in a tree of FAN. So learners
+grow in number with the corpus, and no task or driver holds more than a learner's share or FAN weights. Weights drawn at random
+average badly, so those of the first round come from some slices of SLICE characters (drawn: GROW of all, SAMPLE at least), gone over
+UPDATES times by learners of LEARNER slices; that is a start only, and the slices' documents are gone through again with all others.
 
 Counts for scoring: the commonest words, at most COMMON, go to the workers as a table of that fixed size; other words
 are joined by a shuffle, in which no word has more rows than the last common one has occurrences. Null text
@@ -25,7 +26,6 @@ Rows that repeat a doc_id are rows each for itself; equal texts have equal score
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, settle, texts
-from .gru import Adam, backward, forward, step
+from .gru import Adam, backward_columns, forward_columns, half_gates, step_columns
 
 FOLDS, SAMPLE, GROW, SLICE, COMMON = 10, 1000, 0.01, 20_000, 150_000
 #: Symbols: the end, WORDS words, BINS bins and one for all other words; CLASS of them in a class.
@@ -44,9 +44,13 @@ WORDS, BINS, CLASS, SIZE = 700, 290, 31, 20
 STEPS, STREAMS, UPDATES, RATE = 24, 48, 700, 0.012
 #: Slices of a learner, rounds, weights that are averaged together.
 LEARNER, ROUNDS, FAN = 600, 4, 32
+#: Of the pass over all training documents: streams at most, symbols of a piece, of a learner.
+WIDE, PIECE, SHARE = 256, 5_000, 4_000_000
 #: Steps of a scoring window; bytes of text that are scored together.
 WINDOW, TOGETHER = 24, 16_000_000
 SMOOTH = 0.1
+#: Of symbols in tables.
+SYMBOL = "<u2"
 
 
 def words(text: str) -> list[str]:
@@ -78,23 +82,27 @@ class Model:
         return self.bins.get(word[-2:], self.other)
 
 
+def split(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """All words of texts: the place of each one's text, its number, and the words by number; words() of them, and maybe an empty one that none has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column))  # knows the same six kinds of white space and capitals
+    coded = pc.dictionary_encode(lists.flatten())
+    number, owner = coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    empty = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()  # beside white space at either end
+    if empty >= 0:
+        real = number != empty
+        number, owner = number[real], owner[real]
+    return owner, number, coded.dictionary
+
+
 def count_words(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     """(word, c) over the rows that aren't held out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
-
-        for b in batches:
-            for t in b.column("text"):
-                found.update(words(t.as_py()))
-            if len(found) > 300_000:
-                yield out()
-                found.clear()
-        if found:
-            yield out()
+        for b in (part for whole in batches for part in slices(whole, "text", 2 * TOGETHER)):
+            _, number, found = split(b.column("text"))
+            n = np.bincount(number, minlength=len(found))
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([found.take(pa.array(some)).cast(pa.string()), pa.array(n[some].astype(np.int64))], ["word", "n"])
 
     learned = texts(docs).filter(~held_out(F.col("doc_id"), folds)).select("text")
     return learned.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
@@ -146,74 +154,99 @@ class Network:
     def log_chances(self, states: np.ndarray, symbols: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of the symbols after the states. With grads: adds those of their mean loss, and gives that by the states."""
         w, rows = self.w, np.arange(len(symbols))
-        cls, place = np.divmod(symbols, CLASS)
-        logits = states @ w["class"]
-        logits += w["class_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        own = logits[rows, cls]
-        np.exp(logits, out=logits)
-        total = logits.sum(axis=1)
-        out = own - np.log(total)
-        by_class = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[by_class], np.arange(self.classes + 1))
-        dstates, scale = None, 1 / max(1, len(symbols))
+        cls, place = np.divmod(np.asarray(symbols).astype(np.uint16), np.uint16(CLASS))
+        order = np.argsort(cls, kind="stable")  # of small numbers: by radix
+        cls, place, here = cls[order], place[order], np.asarray(states, np.float32)[order]
+        bounds = np.searchsorted(cls, np.arange(self.classes + 1))
+        parts = [(c, slice(bounds[c], bounds[c + 1])) for c in range(self.classes) if bounds[c] < bounds[c + 1]]
+        x, y = here @ w["class"], np.empty((len(symbols), CLASS), np.float32)
+        x += w["class_bias"]
+        for c, at in parts:
+            np.matmul(here[at], w["inner"][c], out=y[at])
+            y[at] += w["inner_bias"][c]
+        if not self.small:
+            x -= x.max(axis=1, keepdims=True)
+            y -= y.max(axis=1, keepdims=True)
+        own = x[rows, cls] + y[rows, place]
+        np.exp(x, out=x)
+        np.exp(y, out=y)
+        in_x, in_y = x @ np.ones(self.classes, np.float32), y @ np.ones(CLASS, np.float32)
+        own -= np.log(in_x)
+        own -= np.log(in_y)
+        out, dstates = np.empty(len(symbols), np.float32), None
+        out[order] = own
         if grads is not None:
-            p = logits / total[:, None]
-            p[rows, cls] -= 1
-            p *= scale
-            dstates = p @ w["class"].T
-            grads["class"], grads["class_bias"] = states.T @ p, p.sum(axis=0)
+            scale = np.float32(1 / max(1, len(symbols)))
+            x *= (scale / in_x)[:, None]
+            y *= (scale / in_y)[:, None]
+            x[rows, cls] -= scale
+            y[rows, place] -= scale
+            d = x @ w["class"].T
+            grads["class"], grads["class_bias"] = here.T @ x, x.sum(axis=0)
             grads["inner"], grads["inner_bias"] = np.zeros_like(w["inner"]), np.zeros_like(w["inner_bias"])
-        for c in range(self.classes):
-            at = by_class[bounds[c] : bounds[c + 1]]
-            if not len(at):
-                continue
-            here, j = states[at], place[at]
-            x = here @ w["inner"][c]
-            x += w["inner_bias"][c]
-            x -= x.max(axis=1, keepdims=True)
-            mine = x[np.arange(len(at)), j]
-            np.exp(x, out=x)
-            t = x.sum(axis=1)
-            out[at] += mine - np.log(t)
-            if grads is not None:
-                x /= t[:, None]
-                x[np.arange(len(at)), j] -= 1
-                x *= scale
-                dstates[at] += x @ w["inner"][c].T
-                grads["inner"][c], grads["inner_bias"][c] = here.T @ x, x.sum(axis=0)
+            for c, at in parts:
+                d[at] += y[at] @ w["inner"][c].T
+                grads["inner"][c], grads["inner_bias"][c] = here[at].T @ y[at], y[at].sum(axis=0)
+            dstates = np.empty_like(d)
+            dstates[order] = d
         return out, dstates
 
+    @property
+    def small(self) -> bool:
+        """Whether no logit can be so large that its exponential needs the greatest one taken off; states are within -1 and 1."""
+        w = self.w
+        most = np.abs(w["class"]).sum(axis=0) + np.abs(w["class_bias"])
+        # biases of places without a symbol are below 0 by far
+        inner = np.abs(w["inner"]).sum(axis=1) + np.where(w["inner_bias"] < -1e3, 0, np.abs(w["inner_bias"]))
+        return float(max(most.max(initial=0), inner.max(initial=0))) < 60
+
     def score(self, many: list[np.ndarray]) -> np.ndarray:
         """Log-likelihood of each sequence of symbols (ends included), in natural logarithms."""
         order = sorted(range(len(many)), key=lambda i: -len(many[i]))
         lengths = np.array([len(many[i]) for i in order])
         flat = np.concatenate([many[i] for i in order]) if order else np.zeros(0, np.int32)
         begins = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if order else lengths
-        table = self.w["table"] + self.w["in"]
-        out, state = np.zeros(len(many)), np.zeros((len(many), SIZE), np.float32)
+        table, u = half_gates(self.w["table"] + self.w["in"]), np.ascontiguousarray(half_gates(self.w["u"]).T)
+        out, state = np.zeros(len(many)), np.zeros((SIZE, len(many)), np.float32)
         before = np.zeros(len(many), np.int32)  # a text begins as if after an end, symbol 0
         for t0 in range(0, int(lengths.max(initial=0)), WINDOW):
-            states, symbols, owners = [], [], []
-            for t in range(t0, t0 + WINDOW):
-                n = int(np.searchsorted(-lengths, -t, "left"))  # sequences longer than t come first
-                if not n:
-                    break
-                state = step(table[before[:n]], state[:n], self.w["u"])
-                before = flat[begins[:n] + t]
-                states.append(state)
-                symbols.append(before)
-                owners.append(n)
-            logs, _ = self.log_chances(np.concatenate(states), np.concatenate(symbols))
-            at = 0
-            for n in owners:
-                out[:n] += logs[at : at + n]
-                at += n
+            # sequences longer than t come first
+            owners = [int(n) for n in np.searchsorted(-lengths, -np.arange(t0, t0 + WINDOW), "left") if n]
+            ends = np.cumsum(owners)
+            states, symbols = np.empty((ends[-1], SIZE), np.float32), np.empty(ends[-1], np.int32)
+            for t, (n, end) in enumerate(zip(owners, ends.tolist())):
+                state = step_columns(np.ascontiguousarray(table[before[:n]].T), state[:, :n], u)
+                before = flat[begins[:n] + t0 + t]
+                states[end - n : end], symbols[end - n : end] = state.T, before
+            logs, _ = self.log_chances(states, symbols)
+            for n, end in zip(owners, ends.tolist()):
+                out[:n] += logs[end - n : end]
         back = np.empty(len(many))
         back[order] = out
         return back
 
 
+def learn_window(net: Network, adam: Adam, x: np.ndarray, y: np.ndarray, state: np.ndarray, scale: float) -> np.ndarray:
+    """An update by the symbols y (steps, streams) that follow x, from the states (SIZE, streams) before; gives those after."""
+    w = net.w
+    table = half_gates(w["table"] + w["in"])
+    xs = np.ascontiguousarray(table[x].transpose(0, 2, 1))
+    states, kept = forward_columns(xs, state, np.ascontiguousarray(half_gates(w["u"]).T))
+    grads: dict[str, np.ndarray] = {}
+    _, dstates = net.log_chances(states.transpose(0, 2, 1).reshape(-1, SIZE), y.ravel(), grads)
+    dxs, grads["u"] = backward_columns(np.ascontiguousarray(dstates.reshape(*y.shape, SIZE).transpose(0, 2, 1)), kept, w["u"])
+    dxs = dxs.transpose(0, 2, 1).reshape(-1, 3 * SIZE)
+    grads["in"] = dxs.sum(axis=0)
+    grads["table"] = np.zeros_like(w["table"])
+    own = x.ravel().astype(np.uint16)
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    begins = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    grads["table"][own[begins]] = np.add.reduceat(dxs[order], begins, axis=0)
+    adam.update(grads, scale)
+    return states[-1].copy()
+
+
 def train(weights: dict[str, np.ndarray], symbols: int, some: list[np.ndarray], first: int = 0, updates: int = UPDATES, seed: int = 1) -> dict[str, np.ndarray]:
     """The weights after updates first, first + 1, ... of UPDATES, by truncated backpropagation over STREAMS streams of the sequences of symbols."""
     rng = np.random.default_rng((seed, first))
@@ -225,22 +258,30 @@ def train(weights: dict[str, np.ndarray], symbols: int, some: list[np.ndarray],
     streams, steps = min(STREAMS, max(1, len(all_) // 2)), STEPS
     length = len(all_) // streams
     data = all_[: length * streams].reshape(streams, length).T  # (length, streams)
-    adam, state, at = Adam(net.w, RATE), np.zeros((streams, SIZE), np.float32), 0
+    adam, state, at = Adam(net.w, RATE), np.zeros((SIZE, streams), np.float32), 0
     for i in range(first, first + updates):
         if at + 1 >= length:
-            state, at = np.zeros((streams, SIZE), np.float32), int(rng.integers(0, max(1, min(steps, length - 1))))
+            state, at = np.zeros((SIZE, streams), np.float32), int(rng.integers(0, max(1, min(steps, length - 1))))
         y = data[at : at + steps]
         x = np.concatenate([data[at - 1 : at] if at else np.zeros((1, streams), np.int32), y[:-1]])
-        xs = net.w["table"][x] + net.w["in"]
-        states, kept = forward(xs, state, net.w["u"])
-        grads: dict[str, np.ndarray] = {}
-        _, dstates = net.log_chances(states.reshape(-1, SIZE), y.ravel(), grads)
-        dxs, grads["u"] = backward(dstates.reshape(states.shape), kept, net.w["u"])
-        grads["in"] = dxs.sum(axis=(0, 1))
-        grads["table"] = np.zeros_like(net.w["table"])
-        np.add.at(grads["table"], x.ravel(), dxs.reshape(-1, 3 * SIZE))
-        adam.update(grads, max(0.05, 1 - i / UPDATES))
-        state, at = states[-1].copy(), at + len(y)
+        state = learn_window(net, adam, x, y, state, max(0.05, 1 - i / UPDATES))
+        at += len(y)
+    return net.w
+
+
+def go_through(weights: dict[str, np.ndarray], symbols: int, all_: np.ndarray, number: int) -> dict[str, np.ndarray]:
+    """The weights after one pass over all symbols in their order, as round `number` of ROUNDS; streams are filled up with symbols from the beginning."""
+    net = Network({k: w.copy() for k, w in weights.items()}, symbols)
+    if not len(all_):
+        return net.w
+    streams = min(len(all_), max(STREAMS, min(WIDE, len(all_) // (STEPS * STEPS))))
+    length = -(-len(all_) // streams)
+    data = np.resize(all_, (streams, length)).T
+    adam, state = Adam(net.w, RATE), np.zeros((SIZE, streams), np.float32)
+    for at in range(0, length, STEPS):
+        y = data[at : at + STEPS]
+        x = np.concatenate([data[at - 1 : at] if at else np.zeros((1, streams), data.dtype), y[:-1]])
+        state = learn_window(net, adam, x, y, state, max(0.05, 1 - (number + at / length) / ROUNDS))
     return net.w
 
 
@@ -292,8 +333,31 @@ def averaged(table: pa.Table) -> pa.Table:
     return pa.table({"learner": pa.array([table.column("learner")[0].as_py()], pa.int32()), "weights": pa.array([w], pa.binary()), "n": pa.array([n], pa.int64())})
 
 
-def fitted(model: Model, slices_: DataFrame) -> dict[str, np.ndarray]:
-    """The network's weights from the slices, a settled table."""
+def gone_through(held, symbols: int, number: int):
+    """A function of one learner's pieces of round `number` that gives its weights after them; held: the weights before, broadcast."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own = table.sort_by([("h", "ascending")])
+        all_ = np.concatenate([np.frombuffer(x, SYMBOL) for x in own.column("symbols").to_pylist()])
+        new = go_through(held.value, symbols, all_, number)
+        return pa.table({"learner": own.column("learner").slice(0, 1), "weights": pa.array([flat(new)], pa.binary()), "n": pa.array([len(all_)], pa.int64())})
+
+    return run
+
+
+def together(rows: DataFrame, learners: int, work, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The mean of the weights that work gives for each learner's rows; weights where there are no rows."""
+    out, left = "learner int, weights binary, n long", learners
+    rows = rows.groupBy("learner").applyInArrow(work, out)
+    while left > FAN:
+        left = -(-left // FAN)
+        rows = rows.withColumn("learner", F.pmod(F.col("learner"), F.lit(left)).cast("int")).groupBy("learner").applyInArrow(averaged, out)
+    parts = [(bytes(r["weights"]), r["n"]) for r in sorted(rows.collect(), key=lambda r: r["learner"])]
+    return shaped(mean(parts)[0], weights) if parts else weights
+
+
+def started(model: Model, slices_: DataFrame) -> dict[str, np.ndarray]:
+    """Weights to start from, from the slices, a settled table."""
     spark, learners = slices_.sparkSession, -(-slices_.count() // LEARNER)
     weights = Network.new(model.symbols, np.random.default_rng(1))
     if not learners:
@@ -304,7 +368,7 @@ def fitted(model: Model, slices_: DataFrame) -> dict[str, np.ndarray]:
     def to_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(held.value)
         for b in batches:
-            found = [reader.read(t.as_py())[0] for t in b.column("text")]
+            found = reader.read(b.column("text")).each()
             # what a slice begins or ends within is no word
             found = [x[0 if first.as_py() else 1 : len(x) if last.as_py() else -2] for x, first, last in zip(found, b.column("first"), b.column("last"))]
             yield pa.RecordBatch.from_arrays([b.column("learner"), b.column("h"), pa.array(found, pa.list_(pa.int32()))], ["learner", "h", "symbols"])
@@ -313,15 +377,43 @@ def fitted(model: Model, slices_: DataFrame) -> dict[str, np.ndarray]:
     dealt = settle(dealt.mapInArrow(to_symbols, "learner int, h long, symbols array<int>"), "learners")
     updates = -(-UPDATES // ROUNDS)
     for first in range(0, UPDATES, updates):
-        out, left = "learner int, weights binary, n long", learners
-        rows = dealt.groupBy("learner").applyInArrow(learner(spark.sparkContext.broadcast(weights), symbols, first, updates), out)
-        while left > FAN:
-            left = -(-left // FAN)
-            rows = rows.withColumn("learner", F.pmod(F.col("learner"), F.lit(left)).cast("int")).groupBy("learner").applyInArrow(averaged, out)
-        weights = shaped(mean([(bytes(r["weights"]), r["n"]) for r in sorted(rows.collect(), key=lambda r: r["learner"])])[0], weights)
+        weights = together(dealt, learners, learner(spark.sparkContext.broadcast(weights), symbols, first, updates), weights)
     return weights
 
 
+def fitted(model: Model, weights: dict[str, np.ndarray], rows: DataFrame) -> dict[str, np.ndarray]:
+    """The weights after every symbol of rows, the training documents of readings() as a settled table."""
+    context = rows.sparkSession.sparkContext
+    learners = max(1, round((rows.agg(F.sum("n_tokens")).first()[0] or 0) / SHARE))
+    size = PIECE * np.dtype(SYMBOL).itemsize
+    rows = rows.select("symbols", F.xxhash64("doc_id", "symbols").alias("h"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("symbols") - 1) / size).cast("int")), lambda k: F.struct(F.substr(F.col("symbols"), k * size + 1, F.lit(size)).alias("symbols"), F.xxhash64(F.col("h"), k).alias("h")))
+    pieces = rows.select(F.inline(cut)).withColumn("learner", F.pmod(F.col("h"), F.lit(learners)).cast("int"))
+    for number in range(ROUNDS):
+        own = pieces.filter(F.pmod(F.xxhash64("h"), F.lit(ROUNDS)) == number)
+        weights = together(own, learners, gone_through(context.broadcast(weights), model.symbols, number), weights)
+    return weights
+
+
+@dataclass
+class Reading:
+    """Of texts: symbols, all in one array, and where each text's end; by text what is known without the table of all counts; the other words."""
+
+    symbols: np.ndarray
+    ends: np.ndarray
+    known: np.ndarray  # tokens
+    logs: np.ndarray  # sum of log10(c + 0.1) of common words and the end
+    spelled: np.ndarray  # the bins' part of the score
+    rare: pa.ListArray  # (word, n)
+
+    def each(self) -> list[np.ndarray]:
+        return np.split(self.symbols, self.ends[:-1]) if len(self.ends) else []
+
+    def binary(self) -> pa.Array:
+        offsets = np.concatenate([[0], self.ends * self.symbols.itemsize]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(self.ends), [None, pa.py_buffer(offsets), pa.py_buffer(self.symbols)])
+
+
 class Reader:
     """Texts to symbols and what is known about their words without the table of all counts."""
 
@@ -329,50 +421,79 @@ class Reader:
         self.model = model
         first = 2
         n = min(WORDS, len(model.common))
-        self.index = {w: i for i, (w, _) in enumerate(model.common)}
-        self.symbol = np.array([first + i if i < n else model.bin(w) for i, (w, _) in enumerate(model.common)] or [0], np.int64)
-        self.log_count = np.array([math.log10(c + SMOOTH) for _, c in model.common] or [0.0])
-        self.spelled = np.array([i >= n for i in range(len(model.common))] or [False])  # words of bins
+        self.common = pa.array([w for w, _ in model.common], pa.string())
+        self.symbol = np.array([first + i if i < n else model.bin(w) for i, (w, _) in enumerate(model.common)] + [0], np.int64)
+        self.log_count = np.array([math.log10(c + SMOOTH) for _, c in model.common] + [0.0])
+        self.spelled = np.array([i >= n for i in range(len(model.common))] + [False])  # words of bins
         self.log_bin = np.zeros(model.symbols)
         for k, (n_bin, v_bin) in model.bin_sizes.items():
             self.log_bin[k] = math.log10(n_bin + SMOOTH * (v_bin + 1))
-
-    def read(self, text: str) -> tuple[np.ndarray, int, float, float, dict[str, int]]:
-        """Symbols; known tokens, sum of log10(c + 0.1) and the bins' part of the score, of common words and the end; the other words."""
-        model, get = self.model, self.index.get
-        own = words(text)
-        at = np.fromiter((get(w, -1) for w in own), np.int32, len(own))
+        self.bins = pa.array(list(model.bins), pa.string())
+        self.bin_symbol = np.array([*model.bins.values(), model.other], np.int64)
+
+    def read(self, column: pa.Array) -> Reading:
+        model, texts_ = self.model, len(column)
+        owner, number, found = split(column)
+        found = found.cast(pa.string())
+        # by different word; the last place of the model's arrays is that of none
+        at = pc.fill_null(pc.index_in(found, value_set=self.common), -1).to_numpy(zero_copy_only=False)
+        by_end = pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(found, -2), value_set=self.bins), -1).to_numpy(zero_copy_only=False)
         common = at >= 0
-        symbols = np.empty(len(own) + 1, np.int32)
-        symbols[:-1] = self.symbol[np.maximum(at, 0)]
-        symbols[-1] = 0
-        rare: dict[str, int] = {}
-        for i in np.flatnonzero(~common).tolist():
-            w = own[i]
-            symbols[i] = model.bin(w)
-            rare[w] = rare.get(w, 0) + 1
-        seen = at[common]
-        logs = self.log_count[seen]
-        spelled = float(logs[self.spelled[seen]].sum()) - float(self.log_bin[symbols[:-1]].sum())
-        return symbols, len(seen) + (model.ends > 0), float(logs.sum()) + math.log10(model.ends + SMOOTH), spelled, rare
+        symbol = np.where(common, self.symbol[at], self.bin_symbol[by_end])
+        log = self.log_count[at]
+        spelled = np.where(self.spelled[at], log, 0.0) - self.log_bin[symbol]
+        lengths = np.bincount(owner, minlength=texts_)
+        symbols = np.zeros(len(owner) + texts_, SYMBOL)  # ends are 0
+        symbols[np.arange(len(owner)) + owner] = symbol[number]
+        seen = common[number]
+        pairs, n = np.unique(owner[~seen] * len(found) + number[~seen], return_counts=True)
+        of, word = np.divmod(pairs, max(1, len(found)))
+        rare = pa.StructArray.from_arrays([found.take(pa.array(word, pa.int64())), pa.array(n, pa.int64())], ["word", "n"])
+        return Reading(
+            symbols, np.cumsum(lengths + 1), np.bincount(owner[seen], minlength=texts_) + (model.ends > 0), np.bincount(owner, log[number], texts_) + math.log10(model.ends + SMOOTH), np.bincount(owner, spelled[number], texts_),
+            pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=texts_))]), pa.int32()), rare),
+        )
+
+
+def readings(docs: DataFrame, model: Model, folds: int = FOLDS) -> DataFrame:
+    """Rows of docs as a Reader reads them, numbered, with their whole texts' symbols."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        reader, row = Reader(held.value), TaskContext.get().partitionId() << 40
+        for b in (part for whole in batches for part in slices(whole, "text", TOGETHER)):
+            r = reader.read(b.column("text"))
+            n_tokens = np.diff(r.ends, prepend=0)
+            columns = [pa.array(np.arange(row, row + b.num_rows)), b.column("doc_id"), b.column("held_out"), *(pa.array(x, pa.int64()) for x in (n_tokens, r.known)), *(pa.array(x, pa.float64()) for x in (r.logs, r.spelled)), r.rare, r.binary()]
+            row += b.num_rows
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "spelled", "rare", "symbols"])
 
-def learn(docs: DataFrame, counts: DataFrame, folds: int = FOLDS) -> Model:
-    """The model, trained. counts: of count_words(docs), as a settled table."""
+    out = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, spelled double, rare array<struct<word: string, n: bigint>>, symbols binary"
+    return texts(docs).withColumn("held_out", held_out(F.col("doc_id"), folds)).mapInArrow(run, out)
+
+
+def read_and_learn(docs: DataFrame, counts: DataFrame, folds: int = FOLDS) -> tuple[DataFrame, Model]:
+    """readings(docs) as a settled table, and the model, trained. counts: of count_words(docs), as a settled table."""
     rows = texts(docs).filter(~held_out(F.col("doc_id"), folds))
-    ends = rows.count()
-    model = vocabulary(counts, ends)
-    model.weights = fitted(model, settle(drawn(rows), "slices"))
-    return model
+    model = vocabulary(counts, rows.count())
+    read = settle(readings(docs, model, folds), "read")
+    model.weights = fitted(model, started(model, settle(drawn(rows), "slices")), read.filter(~F.col("held_out")))
+    return read, model
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about TOGETHER bytes of text."""
-    ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+def learn(docs: DataFrame, counts: DataFrame, folds: int = FOLDS) -> Model:
+    return read_and_learn(docs, counts, folds)[1]
+
+
+def slices(batch: pa.RecordBatch, name: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `most` bytes of the column."""
+    ends = np.cumsum(pc.binary_length(batch.column(name)).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         before = int(ends[at - 1]) if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + TOGETHER, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
         yield batch.slice(at, to - at)
         at = to
 
@@ -380,35 +501,26 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def score(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     counts = settle(count_words(docs, folds), "word-counts")
-    model = learn(docs, counts, folds)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    read, model = read_and_learn(docs, counts, folds)
+    held, symbols = docs.sparkSession.sparkContext.broadcast(model.weights), model.symbols
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        model = held.value
-        reader, net, row = Reader(model), Network(model.weights, model.symbols), TaskContext.get().partitionId() << 40
-        for b in (part for whole in batches for part in slices(whole)):
-            ids, found = b.column("doc_id"), [reader.read(t.as_py()) for t in b.column("text")]
-            logs = net.score([f[0] for f in found]) / math.log(10)
-            pairs = pa.StructArray.from_arrays([pa.array([w for f in found for w in f[4]], pa.string()), pa.array([n for f in found for n in f[4].values()], pa.int64())], ["word", "n"])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(f[4]) for f in found])]), pa.int32()), pairs)
-            columns = [np.arange(row, row + len(found)), [len(f[0]) for f in found], [f[1] for f in found]]
-            row += len(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0]), ids, *(pa.array(c, pa.int64()) for c in columns[1:]), pa.array([f[2] for f in found], pa.float64()), pa.array([x + f[3] for x, f in zip(logs.tolist(), found)], pa.float64()), lists],
-                ["row", "doc_id", "n_tokens", "known", "logs", "spelled", "rare"],
-            )
-
-    out = "row long, doc_id long, n_tokens long, known long, logs double, spelled double, rare array<struct<word: string, n: bigint>>"
-    first = settle(texts(docs).mapInArrow(run, out), "scored")
-    rare = first.select("row", F.inline("rare")).join(counts, "word", "left")
+        net = Network(held.value, symbols)
+        for b in (part for whole in batches for part in slices(whole, "symbols", TOGETHER // 4)):
+            logs = net.score([np.frombuffer(x.as_buffer(), SYMBOL) for x in b.column("symbols")]) / math.log(10)
+            spelled = pa.array(logs + b.column("spelled").to_numpy())
+            yield pa.RecordBatch.from_arrays([spelled if name == "spelled" else b.column(name) for name in kept], kept)
+
+    kept = ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "spelled"]
+    out = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, spelled double"
+    first = settle(read.select(*kept, "symbols").mapInArrow(run, out), "scored")
+    rare = read.select("row", F.inline("rare")).join(counts, "word", "left")
     known = F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0))
     sums = rare.groupBy("row").agg(known.alias("rare_known"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))).alias("rare_logs"))
     every = math.log10(model.total + SMOOTH * (model.different + 1))
-    rows = first.drop("rare").join(sums, "row", "left")
+    rows = first.join(sums, "row", "left")
     logs, here = F.coalesce("rare_logs", F.lit(0.0)), F.coalesce("rare_known", F.lit(0))
     return rows.select(
-        "doc_id", held_out(F.col("doc_id"), folds).alias("held_out"), "n_tokens", (F.col("known") + here).cast("long").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", (F.col("known") + here).cast("long").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("logs") + logs - F.col("n_tokens") * F.lit(every)).alias("base_score"), (F.col("spelled") + logs).alias("score"),
     )

@@ -180,6 +180,55 @@ def test_learners_are_averaged(spark, corpus, monkeypatch):
     assert n == 30 and all(np.allclose(x, 3) for x in lm.shaped(w, a).values())
 
 
+def test_every_training_document_trains(spark, corpus, monkeypatch):
+    """The order of the words of one document, which no count shows, with no slice drawn to start from."""
+    monkeypatch.setattr(lm, "SAMPLE", 0)
+    monkeypatch.setattr(lm, "GROW", 0)
+    monkeypatch.setattr(lm, "SHARE", 400)
+    monkeypatch.setattr(lm, "PIECE", 16)
+
+    def weights(turned):
+        rows = [(i, " ".join(reversed(t.split(" "))) if i == turned else t) for i, t, _, _ in corpus[:30]]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        return lm.flat(lm.learn(docs, lm.settle(lm.count_words(docs), "word-counts")).weights)
+
+    out, learned = next(i for i in range(30) if held(i, 10)), next(i for i in range(30) if not held(i, 10))
+    before = weights(None)
+    assert weights(learned) != before == weights(out)
+
+
+@pytest.mark.parametrize("n", [1, 2, 47, 1000, 1153])
+def test_a_pass_is_whole(monkeypatch, n):
+    """Each symbol is one to learn in its place; the streams are filled up with less than one symbol each."""
+    seen = []
+    monkeypatch.setattr(lm, "learn_window", lambda net, adam, x, y, state, scale: (seen.append((x, y)), state)[1])
+    model, _ = tiny_model()
+    all_ = (np.arange(n) % 41 + 1).astype(lm.SYMBOL)
+    lm.go_through(model.weights, model.symbols, all_, 0)
+    x, y = (np.concatenate([s[k] for s in seen]) for k in (0, 1))
+    flat = y.T.ravel()
+    assert np.array_equal(flat[:n], all_) and len(flat) - n < y.shape[1] and np.array_equal(x[1:], y[:-1]) and not x[0].any()
+
+
+def test_columns_are_the_layer():
+    rng = np.random.default_rng(4)
+    xs, h, u, goal = rng.normal(size=(4, 5, 9)), rng.normal(size=(5, 3)), rng.normal(size=(3, 9)), rng.normal(size=(4, 5, 3))
+    turn = lambda a: np.ascontiguousarray(np.swapaxes(a, -1, -2))
+    states, kept = gru.forward(xs, h, u)
+    columns, kept_columns = gru.forward_columns(turn(gru.half_gates(xs)), turn(h), turn(gru.half_gates(u)))
+    assert np.allclose(turn(columns), states)
+    for a, b in zip(gru.backward(goal, kept, u), gru.backward_columns(turn(goal), kept_columns, u)):
+        assert np.allclose(a, b if b.ndim == 2 else turn(b))
+
+
+def test_words_together():
+    import pyarrow as pa
+
+    texts = ["A\x1cB Über\x85É\x0b x\u3000Y\n", "", " \t", "a", "  A  b\x00 ", "\r\n\x0cÄ ä", "a b a"]
+    owner, number, found = lm.split(pa.array(["none", *texts]).slice(1))
+    assert [[found[int(k)].as_py() for k in number[owner == i]] for i in range(len(texts))] == [lm.words(t) for t in texts]
+
+
 def test_samples_are_bounded_and_defined(spark, monkeypatch):
     """Half of the ids NULL and one repeated, with one text or many, and with labels that differ."""
     monkeypatch.setattr(toxicity, "ORDINARY", 100)
