@@ -386,7 +386,7 @@ def fitted(model: Model, weights: dict[str, np.ndarray], rows: DataFrame) -> dic
     context = rows.sparkSession.sparkContext
     learners = max(1, round((rows.agg(F.sum("n_tokens")).first()[0] or 0) / SHARE))
     size = PIECE * np.dtype(SYMBOL).itemsize
-    rows = rows.select("symbols", F.xxhash64("doc_id", "symbols").alias("h"))
+    rows = rows.select("symbols", F.xxhash64("doc_id", "symbols", "row").alias("h"))  # row: so that copies of a row don't all go to one learner
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("symbols") - 1) / size).cast("int")), lambda k: F.struct(F.substr(F.col("symbols"), k * size + 1, F.lit(size)).alias("symbols"), F.xxhash64(F.col("h"), k).alias("h")))
     pieces = rows.select(F.inline(cut)).withColumn("learner", F.pmod(F.col("h"), F.lit(learners)).cast("int"))
     for number in range(ROUNDS):
