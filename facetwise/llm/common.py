@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ HOT_KEYS = 256
 FEW = 500_000
 #: Smaller groups are never treated as hot.
 HOT_LEAST = 1000
+#: Rows with their texts that a worker gets at once, and that it makes an Arrow array of at once.
+TEXTS = 1000
 
 _own: dict[str, str] = {}
 
@@ -120,9 +125,24 @@ def hold(owner: str, drop: Callable[[], None]) -> None:
     """Say in a worker that owner's memo is in use; that of the operator before is dropped, as workers outlive stages."""
     if _holder and _holder[0][0] != owner:
         _holder[0][1]()
+        give_back()
     _holder[:] = [(owner, drop)]
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system, where the allocators have kept it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not of glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def text_by_text(make: Callable, texts: pa.Array, kind: pa.DataType) -> pa.Array:
+    """make of each text (None of null) as an array; never all of them as objects of Python."""
+    parts = [pa.array([make(t.as_py()) for t in texts.slice(i, TEXTS)], kind) for i in range(0, len(texts), TEXTS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 @contextlib.contextmanager
 def rows_a_batch(spark: SparkSession, n: int):
     """What runs inside sends so many rows at once to Python at most: for rows that hold much."""

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import by_hash, hold, keep_only, lookup, rows_a_batch, settle, shuffle_partitions, texts, without
+from .common import TEXTS, by_hash, hold, keep_only, lookup, rows_a_batch, settle, shuffle_partitions, texts, without
 from .components import components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -288,7 +288,8 @@ def links(docs: DataFrame, heads_: DataFrame, width: int, similarity: float, mem
     alone = without(heads_, same.select(F.col("b").alias("row")), ["row"])
 
     ids = settle(sharing(alone.select("row", "n", "keys"), in_prefix(similarity), "prefixes").select("row").distinct(), "prefix-rows")
-    sets = settle(_sets(docs, keep_only(heads_.select("row", "doc_id", "h"), ids, ["row"]), width), "sets")
+    with rows_a_batch(docs.sparkSession, TEXTS):
+        sets = settle(_sets(docs, keep_only(heads_.select("row", "doc_id", "h"), ids, ["row"]), width), "sets")
     found = sized(sharing(sets, in_all(similarity), "keys"))
 
     classes = simhash.classes(settle(alone.select(F.col("row").alias("doc_id"), "fp"), "fingerprints"))
@@ -333,7 +334,8 @@ def _name(doc_id: str = "doc_id", h: str = "h") -> Column:
 def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, members: int = MEMBERS) -> DataFrame:
     """(doc_id, h, root, root_h) of every document in a group of several: h is xxhash64 of its text; root and root_h tell the one that stays."""
     docs = texts(docs)
-    heads_ = settle(heads(docs, width, similarity), "heads")
+    with rows_a_batch(docs.sparkSession, TEXTS):
+        heads_ = settle(heads(docs, width, similarity), "heads")
     found = settle(components(links(docs, heads_, width, similarity, members)).select(F.col("node").alias("row"), "root"), "group-rows")
     named = settle(keep_only(heads_.select("row", "doc_id", "h"), found, ["row"], "root"), "group-names")
     least = named.groupBy("root").agg(F.min(_name()).alias("least"), F.count(F.lit(1)).alias("rows"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, texts
+from .common import TEXTS, rows_a_batch, settle, texts
 from .cutting_stock import solve
 from .tokens import library
 
@@ -43,7 +43,7 @@ def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capac
         encoder, tail, long, short = library(tokenizer, False), np.array([end], "<u4").tobytes(), 4 * capacity, 4 * GRAIN * STEP
         for b in batches:
             n, crcs, blocks = [], [], []
-            for raw in map(encoder.ids, b.column("text").to_pylist()):
+            for raw in (encoder.ids(t.as_py()) for t in b.column("text")):
                 view = memoryview(raw + tail)
                 n.append(len(view) // 4)
                 crcs.append([zlib.crc32(view[i : i + long]) for i in range(0, len(view), long)])
@@ -137,7 +137,8 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capacity:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     if capacity % (GRAIN * STEP):
         raise ValueError(f"capacity is a multiple of {GRAIN * STEP}")
-    done = settle(tokenized(docs, tokenizer, end, capacity), "tokenized")
+    with rows_a_batch(docs.sparkSession, TEXTS):
+        done = settle(tokenized(docs, tokenizer, end, capacity), "tokenized")
     rows = done.select("row", "doc_id", "doc_tokens", "blocks", F.posexplode("crcs").alias("pos", "ids_crc32"))
     rows = rows.withColumn("start", F.col("pos").cast("long") * capacity)
     rows = rows.withColumn("length", F.least(F.lit(capacity).cast("long"), F.col("doc_tokens") - F.col("start")))

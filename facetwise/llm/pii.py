@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import TEXTS, hold, rows_a_batch, settle, text_by_text
 
 KEY_SETTING = "spark.facetwise.pii.key"
 ROUNDS = 6
@@ -346,27 +346,31 @@ def collisions(docs: DataFrame, key: bytes) -> DataFrame:
     """(kind, surrogate, originals) where different originals of a corpus have one surrogate, or one original several: none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("pii", _made.cache_clear)
         for b in batches:
             rows = {(k, canonical(k, o), canonical(k, n)) for t in b.column("text") if t.is_valid for k, o, n in replaced(t.as_py(), key)[1]}
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["kind", "original", "surrogate"])
 
-    pairs = settle(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind string, original string, surrogate string").distinct(), "entities")
+    with rows_a_batch(docs.sparkSession, TEXTS):
+        pairs = settle(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind string, original string, surrogate string").distinct(), "entities")
     one = pairs.groupBy("kind", F.col("surrogate").alias("what")).agg(F.count(F.lit(1)).alias("n"))
     other = pairs.groupBy("kind", F.col("original").alias("what")).agg(F.count(F.lit(1)).alias("n"))
     return one.unionByName(other).filter("n > 1")
 
 
 def surrogates(docs: DataFrame, key: bytes | None = None, check: bool = True) -> DataFrame:
-    """The rows of docs with their text replaced; the other columns as they are."""
+    """The rows of docs with their text replaced; the other columns as they are. A settled table, so that workers get few texts at once."""
     key = key or key_of(docs.sparkSession)
     if check and (bad := collisions(docs, key).take(1)):
         raise RuntimeError(f"surrogates collide: {bad}")
 
-    @F.pandas_udf("string")
-    def new_text(text):
-        return text.map(lambda t: None if t is None else replaced(t, key)[0])
+    @F.arrow_udf("string")
+    def new_text(text: pa.Array) -> pa.Array:
+        hold("pii", _made.cache_clear)
+        return text_by_text(lambda t: None if t is None else replaced(t, key)[0], text, pa.string())
 
-    return docs.withColumn("text", new_text(F.col("text").cast("string")))
+    with rows_a_batch(docs.sparkSession, TEXTS):
+        return settle(docs.withColumn("text", new_text(F.col("text").cast("string"))), "surrogates")
 
 
 def report(docs: DataFrame, key: bytes | None = None) -> DataFrame:

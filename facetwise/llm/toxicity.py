@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_hash, held_out, hold, texts
+from .common import by_hash, held_out, hold, text_by_text, texts
 
 FOLDS, TOXIC, ORDINARY, LONGEST = 5, 1500, 3000, 50_000
 LEAD, LEVEL, LONG = b"\n>>> ", 19, 64
@@ -262,9 +262,9 @@ def clean(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFrame:
     """The rows of docs that aren't predicted toxic, with all their columns."""
     model = train(sample(docs, labels, folds))
 
-    @F.pandas_udf("double")
-    def chance(text):
+    @F.arrow_udf("double")
+    def chance(text: pa.Array) -> pa.Array:
         tool = scorer(model)
-        return text.map(lambda t: tool.score(t or "")).astype(float)
+        return text_by_text(lambda t: tool.score(t or ""), text, pa.float64())
 
     return docs.filter(chance(F.col("text").cast("string")) < 0.5)

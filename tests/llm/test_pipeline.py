@@ -5,12 +5,13 @@ import os
 import random
 import sys
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 import corpus_pipeline  # noqa: E402
-from facetwise.llm import near_dedup, pii, toxicity  # noqa: E402
+from facetwise.llm import near_dedup, packing, pii, toxicity  # noqa: E402
 from facetwise.llm.common import forget, lookup, settle, shared_dir, table  # noqa: E402
 from test_tokens import check_packed  # noqa: E402
 
@@ -202,3 +203,30 @@ def test_forget(spark):
     assert os.path.isdir(path)
     forget(spark)
     assert not os.path.exists(path)
+
+
+def test_texts_go_to_workers_a_few_at_a_time(spark, monkeypatch):
+    from facetwise.llm import common
+
+    def spy(df, name):
+        seen[name] = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        return common.settle(df, name)
+
+    seen, before = {}, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for module in (near_dedup, packing, pii):
+        monkeypatch.setattr(module, "settle", spy)
+    docs = spark.createDataFrame([(i, f"one two three four five six seven eight {i % 3} by a@b{i}.org") for i in range(12)], "doc_id long, text string")
+    near_dedup.survivors(docs)
+    packing.pack(docs)
+    pii.surrogates(docs)
+    assert all(seen[n] <= common.TEXTS for n in ("heads", "sets", "entities", "surrogates", "tokenized")), seen
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+@pytest.mark.parametrize("n", [0, 1, 2500])
+def test_text_by_text(n):
+    from facetwise.llm.common import text_by_text
+
+    texts = [None if i % 7 == 0 else "é" * (i % 5) for i in range(n)]
+    got = text_by_text(lambda t: None if t is None else t + "!", pa.array(texts, pa.string()), pa.string())
+    assert got.type == pa.string() and got.to_pylist() == [None if t is None else t + "!" for t in texts]
